@@ -52,9 +52,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str, raw: tuple[str, ...] = ()) -> DataFrame:
     """``df`` through ``rows``, which turns dicts of column lists into dicts of column lists.
 
+    Columns named in ``raw`` come as Arrow arrays; any may be returned as one.
+
     Arrow batches are cut to at most 512 rows, so that a batch of long texts
     stays small on the Python side too.
     """
@@ -68,7 +70,7 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[d
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+                    yield {n: part.column(i) if n in raw else part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
 
         for out in rows(slices()):
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)

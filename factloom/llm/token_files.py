@@ -37,10 +37,18 @@ LAYOUT = {
     "compression": "zstd",
 }
 
-#: Blanks besides space and line feed; those that are blanks to some Unicode tables only; a cut before a space and a non-blank.
-ODD = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]").search
-UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200f\u2060\ufeff]").search
+#: Blanks that are so to some Unicode tables only, and the other blanks besides space and line feed (fixed values).
+UNSURE = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+ODD = "\t\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A cut before a space and a non-blank; a word of letters in old scripts with ASCII punctuation behind it.
 CUT = re.compile(r"(?<!^)(?= \S)").split
+ENDED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([!-/:-@\[-`{-~]+)").fullmatch
+
+
+def blank_in(text: str, blanks: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in blanks if c < "\x7f")
+    return any(c in text for c in blanks)
 
 
 class Encoder:
@@ -71,9 +79,23 @@ class Encoder:
         #: Bytes of each token: its vocabulary entry has a character for each byte.
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """``words`` follow a space each.  They are encoded as one text and told apart by their tokens' bytes."""
+        self.tails: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        """Encodes new words, each after a space.  A word that ends in punctuation is two pieces, so its parts are learnt."""
+        known = self.known
+        ended = {w: m.groups() for w in words if (m := ENDED(w))}
+        stems = {s for s, _ in ended.values()}
+        self._encode(list((words.difference(ended) | stems).difference(known)))
+        tails = list({t for _, t in ended.values()}.difference(self.tails))
+        self.tails.update(zip(tails, [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(tails, add_special_tokens=False)], strict=True))
+        for w, (s, t) in ended.items():
+            known[w] = known[s] + self.tails[t]
+        if len(self.tails) > 20_000:
+            self.tails.clear()
+
+    def _encode(self, words: list[str]) -> None:
+        """Encodes words as one text, a space before each, and tells them apart by their tokens' bytes."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
@@ -88,11 +110,11 @@ class Encoder:
         out: list = [None] * len(texts)
         whole, heads, cut = [], [], {}
         for i, text in enumerate(texts):
-            if not self.by_word or UNSURE(text) or any(a in text for a in self.added):
+            if not self.by_word or blank_in(text, UNSURE) or any(a in text for a in self.added):
                 whole.append(i)
                 continue
             words = text.split(" ")
-            if "  " in text or " \n" in text or text[-1:] == " " or ODD(text):
+            if "  " in text or " \n" in text or text[-1:] == " " or blank_in(text, ODD):
                 words = [w[1:] if k else w for k, w in enumerate(CUT(text))]
             cut[i] = words
             heads.append(words[0])
@@ -104,7 +126,7 @@ class Encoder:
             words[0] = ""
         self.known[""] = b""
         new = set().union(*cut.values()).difference(self.known)
-        self._learn(list(new))
+        self._learn(new)
         for (i, words), head in zip(cut.items(), first, strict=True):
             out[i] = np.frombuffer(head + b"".join(map(self.known.__getitem__, words)), np.int32)
         for w in new:
@@ -176,10 +198,11 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
 
     def sums(batches):
         for b in batches:
-            ids = [np.asarray(x, "<u4") for x in b["token_ids"]]
-            yield {"doc_id": b["doc_id"], "file": b["file"], "at": b["at"], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
+            ends = b["token_ids"].offsets.to_numpy()
+            ids = memoryview(b["token_ids"].values.to_numpy().astype("<u4", copy=False)).cast("B")
+            yield {"doc_id": b["doc_id"], "file": b["file"], "at": b["at"], "n_tokens": np.diff(ends).tolist(), "ids_crc32": [zlib.crc32(ids[4 * x : 4 * y]) for x, y in itertools.pairwise(ends.tolist())]}
 
-    rows = mapped(stored_rows, sums, "doc_id long, file string, at long, n_tokens long, ids_crc32 long")
+    rows = mapped(stored_rows, sums, "doc_id long, file string, at long, n_tokens long, ids_crc32 long", raw=("token_ids",))
     inside = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     # One row per file: the counts alone, read without the token column.
