@@ -118,3 +118,46 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
             block = mixed(block[:-size] * np.uint64(0xD6E8FEB86659FD93) + block[size:]) if len(block) > size else block[:0]
             size *= 2
     return parts
+
+
+# Filters of fixed size
+
+#: Most bits of a filter, as a power of two (16 MB).
+FILTER_BITS = 27
+SLICES = 64
+
+
+def slot(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(values) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def fixed_filter(values: DataFrame) -> np.ndarray:
+    """A packed bitmap with a bit set for the slot of each value of a one-column long table.
+
+    It has about 16 bits a value and ``2**FILTER_BITS`` at most: beyond that it
+    lets more through, never less.  Its slices are made on the executors, so what
+    reaches the driver has a fixed size.
+    """
+    name = values.columns[0]
+    bits = int(np.clip(int(np.ceil(np.log2(max(1, values.count())))) + 4, 16, FILTER_BITS))
+    width = 2**bits // SLICES
+
+    def find(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"slot": np.unique(slot(np.array(b[name], np.int64).view(np.uint64), bits))}
+
+    def pack(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for part, held in zip(b["part"], b["slots"], strict=True):
+                bitmap = np.zeros(width, bool)
+                bitmap[np.array(held, np.int64) - part * width] = True
+                yield {"part": [part], "bitmap": [np.packbits(bitmap).tobytes()]}
+
+    slots = mapped(values, find, "slot long").groupBy(F.floor(F.col("slot") / F.lit(width)).alias("part")).agg(F.collect_set("slot").alias("slots"))
+    found = {r.part: np.frombuffer(r.bitmap, np.uint8) for r in mapped(slots, pack, "part long, bitmap binary").toLocalIterator()}
+    return np.concatenate([found.get(p, np.zeros(width // 8, np.uint8)) for p in range(SLICES)])
+
+
+def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = slot(values, int(np.log2(len(bitmap) * 8)))
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

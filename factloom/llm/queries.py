@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, mixing, pii, substring_dedup, token_counts, token_files, toxicity, warc
+from . import decontamination, exact_dedup, mixing, ngram_join, pii, substring_dedup, token_counts, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def byte_bpe() -> str:
     return token_files.vocabulary_path("byte_bpe_50k.json")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -56,6 +60,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_toxicity, op4_exact_dedup, op5_token_counts, op6_personal_data, op7_token_files, op8_mix_sources, op9_substring_dedup, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_toxicity, op4_exact_dedup, op5_token_counts, op6_personal_data, op7_token_files, op8_mix_sources, op9_substring_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}

@@ -22,12 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mapped, mixed, stored, text_or_empty
+from .common import WordHashes, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty
 
 #: Words of a window (the least length of a repeat).
 WINDOW = 35
-#: Most bits of the filter of repeated anchors, as a power of two (16 MB).
-FILTER_BITS = 27
 
 
 def gram_size(window: int) -> int:
@@ -82,52 +80,16 @@ def anchor_counts(texts: DataFrame, window: int) -> DataFrame:
     return mapped(texts.select("body"), rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def repeated_filter(anchors: DataFrame) -> np.ndarray:
-    """A bitmap, of at most 2**FILTER_BITS bits, with a bit for each anchor that occurs twice or more.
-
-    Its slices are made where the anchors are; what reaches the driver has a
-    fixed size.  When it is too full to tell, it lets everything through.
-    """
-    repeated = stored(anchors.where("n >= 2").select("anchor"), "repeated-anchors")
-    count = repeated.count()
-    bits = int(np.clip(int(np.ceil(np.log2(max(1, count)))) + 4, 16, FILTER_BITS))
-    slices = 64
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            slots = np.unique(slot(np.array(b["anchor"], np.int64).view(np.uint64), bits))
-            yield {"slot": slots}
-
-    slots = mapped(repeated, rows, "slot long").groupBy(F.floor(F.col("slot") * slices / F.lit(2**bits)).alias("part")).agg(F.collect_set("slot").alias("slots"))
-
-    def pack(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            for part, held in zip(b["part"], b["slots"], strict=True):
-                bitmap = np.zeros(2**bits // slices, bool)
-                bitmap[np.array(held, np.int64) - part * (2**bits // slices)] = True
-                yield {"part": [part], "bitmap": [np.packbits(bitmap).tobytes()]}
-
-    found = {r.part: np.frombuffer(r.bitmap, np.uint8) for r in mapped(slots, pack, "part long, bitmap binary").toLocalIterator()}
-    empty = np.zeros(2**bits // slices // 8, np.uint8)
-    return np.concatenate([found.get(p, empty) for p in range(slices)])
-
-
-def slot(anchors: np.ndarray, bits: int) -> np.ndarray:
-    return (mixed(anchors) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def seeded_windows(texts: DataFrame, window: int, bitmap) -> DataFrame:
     """rid, at, low, high: the windows that hold a repeated anchor, their place and hashes."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes, packed = WordHashes(), bitmap.value
-        bits = int(np.log2(len(packed) * 8))
+        hashes = WordHashes()
         for b in batches:
             batch = Batch(b["body"], hashes, window)
             if not len(batch.starts):
                 continue
-            at = slot(batch.anchor, bits)
-            chosen = np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            chosen = np.flatnonzero(passes(bitmap.value, batch.anchor))
             if len(chosen):
                 row = batch.row[chosen]
                 yield {
@@ -143,7 +105,8 @@ def seeded_windows(texts: DataFrame, window: int, bitmap) -> DataFrame:
 def repeated_places(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """rid, starts: the starts of all repeated windows of a text, for texts that have any."""
     spark = texts.sparkSession
-    bitmap = spark.sparkContext.broadcast(repeated_filter(anchor_counts(texts, window)))
+    anchors = stored(anchor_counts(texts, window).where("n >= 2").select("anchor"), "repeated-anchors")
+    bitmap = spark.sparkContext.broadcast(fixed_filter(anchors))
     windows = seeded_windows(texts, window, bitmap)
     repeated = windows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("low", "high")
     hits = windows.join(repeated.hint("merge"), ["low", "high"])
