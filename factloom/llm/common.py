@@ -2,50 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.scratch import scratch_path, shared_dir, stored
+
 #: A word of the query contracts: a run of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the setting is absent a folder is made, but only for a local master:
-    on a cluster a machine-local folder would be invisible to the executors.
-    """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="factloom-")
-    return f"file://{_local_dirs[app]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "WordHashes", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "scratch_path", "shared_dir", "stored", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text") -> Column:
