@@ -28,8 +28,11 @@ from .common import mapped, stored, text_or_empty
 WORDS = re.compile(r"\w+").findall
 #: Labelled rows of each label that the classifier is fitted on, at most (the documented bound of the sample).
 EXAMPLES = 4096
-#: Features kept, and training documents that must hold one.
-FEATURES, LEAST_HOLDERS = 1024, 5
+#: Features kept at most, and what one must show: training documents that hold it,
+#: its chi-square value, and how many times as frequent it is with one label.
+FEATURES, LEAST_HOLDERS, LEAST_CHI, LEAST_RATIO = 1024, 3, 6.63, 20.0
+#: Vectors that a task scores.
+SCORED = 8192
 #: Neighbours that vote; the prior's weight in a vote; rows of a block of the index.
 NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 16, 0.5, 64
 #: Lengths of word beginnings.
@@ -174,7 +177,11 @@ def select_features(rows: DataFrame, sizes: dict[int, int]) -> list[str]:
 
     counts = mapped(rows.select("label", "body"), count, "label int, feature string, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("zeros"))
     a, b = (F.col("ones") + 0.5) / (sizes.get(1, 0) + 1), (F.col("zeros") + 0.5) / (sizes.get(0, 0) + 1)
-    best = counts.where(F.col("ones") + F.col("zeros") >= LEAST_HOLDERS).orderBy(((a - b) ** 2 / (a + b)).desc(), "feature").limit(FEATURES)
+    held, every = F.col("ones") + F.col("zeros"), sizes.get(1, 0) + sizes.get(0, 0) + 2
+    pooled = (held + 1) / every
+    chi = (a - b) ** 2 / (pooled * (1 - pooled) * (1 / (sizes.get(1, 0) + 1) + 1 / (sizes.get(0, 0) + 1)))
+    telling = (held >= LEAST_HOLDERS) & (pooled < 1) & (chi >= LEAST_CHI) & (F.greatest(a, b) >= LEAST_RATIO * F.least(a, b))
+    best = counts.where(telling).orderBy(((a - b) ** 2 / (a + b)).desc(), "feature").limit(FEATURES)
     return [r.feature for r in best.select("feature").collect()]
 
 
@@ -205,9 +212,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
 
     vectors = stored(mapped(texts, vectorise, "doc_id long, features array<int>, times array<int>"), "toxic-vectors")
     total = vectors.count()
+
+    def holders(batches):
+        held = Counter()
+        for b in batches:
+            for f in b["features"]:
+                held.update(f)
+        yield {"f": list(held), "n": list(held.values())}
+
     frequency = np.zeros(len(names))
-    for r in vectors.select(F.explode("features").alias("f")).groupBy("f").count().collect():
-        frequency[r.f] = r["count"]
+    for r in mapped(vectors.select("features"), holders, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+        frequency[r.f] = r.n
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
     # The sample's vectors, one a document; no more rows than the sample has.
@@ -228,7 +243,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
             near = [[{"doc_id": int(model.index.ids[r]), "cosine": c, "label": int(model.index.labels[r])} for c, r in n] for _, n in found]
             yield {"doc_id": b["doc_id"], "score": [s for s, _ in found], "evidence": near}
 
-    scored = mapped(vectors, score, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    scored = mapped(vectors.repartition(max(1, total // SCORED)), score, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
