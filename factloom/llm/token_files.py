@@ -62,7 +62,7 @@ class Encoder:
     """
 
     #: Words remembered; the first half, which holds the frequent ones, outlives a clearing.
-    MOST, LONGEST = 600_000, 64
+    MOST, LONGEST = 900_000, 64
 
     def __init__(self, path: str):
         import json
