@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,7 +37,7 @@ def ngrams(c: Column, n: int) -> Column:
     return F.flatten(grams)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def code_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Identifiers and their parts (at underscores, digits and changes of case), lower case, and symbols."""
     identifier = re.compile(r"[^\W\d]\w*|\d+|[^\w\s]")
@@ -55,7 +56,7 @@ def code_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(tokens)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def graphemes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Extended grapheme clusters."""
     import regex
