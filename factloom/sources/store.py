@@ -21,12 +21,12 @@ def write_facts(facts: FactSet, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_facts(spark: SparkSession, *paths: str) -> FactSet:
-    """One or more folders as one set."""
+    """One or more folders as one set; segments that repeat a fact hold it once."""
     out: FactSet | None = None
     for path in paths:
         rows = spark.read.parquet(f"{path}/_schema_facts").distinct().collect()
         attributes = {r.name: Attribute(r.name, r.encoding, r.multi, r.iri or None) for r in rows}
-        data = {r.name: InPairs(spark.read.schema(f"e string, v {ENCODINGS[r.encoding].spark}").parquet(f"{path}/{r.id}")) for r in rows}
+        data = {r.name: InPairs(spark.read.schema(f"e string, v {ENCODINGS[r.encoding].spark}").parquet(f"{path}/{r.id}").distinct()) for r in rows}
         one = FactSet(attributes, data)
         out = one if out is None else out.union(one)
     if out is None:
