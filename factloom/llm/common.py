@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,17 @@ from factloom.sources.scratch import scratch_path, shared_dir, stored
 #: A word of the query contracts: a run of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "WordHashes", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "scratch_path", "shared_dir", "stored", "text_or_empty"]
+__all__ = ["WORD", "WordHashes", "discard", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "scratch_path", "shared_dir", "stored", "text_or_empty"]
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that nothing depends on any more, and lets Spark drop the shuffle files of finished steps."""
+    jvm = df.sparkSession._jvm
+    for parent in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty
+from .common import WordHashes, discard, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty
 from .components import connected
 
 #: Words of a shingle; the similarity of a link in hundredths.
 SHINGLE, PERCENT = 5, 75
 #: Keys of a document, each of so many min-hashes.
 KEYS, KEY_HASHES = 4, 2
+#: Min-hashes, of all KEYS * KEY_HASHES, in which a document and its leader agree before they are compared.
+AGREEING = 5
 #: Frequent tokens that the order puts last (the list's bound), and how often one is seen in a batch to count.
 FREQUENT, SEEN = 200_000, 3
 #: Documents of a block of a group, and queries that one task compares with it.
@@ -82,7 +84,7 @@ def frequent_tokens(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def described(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, signature, keys and prefix (tokens in the global order) of each document."""
+    """doc_id, size, signature, keys, least (min-hashes) and prefix (tokens in the global order) of each document."""
     spark = texts.sparkSession
     frequent = frequent_tokens(texts, n)
     order = np.argsort(frequent)
@@ -92,26 +94,26 @@ def described(texts: DataFrame, n: int, percent: int) -> DataFrame:
         shingles, (known, rank) = Shingles(n), shipped.value
         salts = mixed(np.arange(1, KEYS * KEY_HASHES + 1, dtype=np.uint64))
         for b in batches:
-            out = {k: [] for k in ("doc_id", "size", "signature", "keys", "prefix")}
+            out = {k: [] for k in ("doc_id", "size", "signature", "keys", "least", "prefix")}
             for doc_id, text in zip(b["doc_id"], b["body"], strict=True):
                 tokens = shingles.of(text)
                 size = len(tokens)
-                keys, prefix = [], b""
+                keys, least, prefix = [], [], b""
                 if size:
-                    least = [int(mixed(tokens ^ s).min()) for s in salts]
+                    least = [int((tokens ^ s).min()) for s in salts]
                     keys = [xxhash.xxh3_64_intdigest(repr((k, least[k * KEY_HASHES : (k + 1) * KEY_HASHES])).encode()) - 2**63 for k in range(KEYS)]
                     at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
                     late = np.where(known[at] == tokens, rank[at], -1) if len(known) else np.full(size, -1)
                     prefix = tokens[np.argsort(late, kind="stable")][: size - needed(size, percent) + 1].tobytes()
-                for k, v in (("doc_id", doc_id), ("size", size), ("signature", xxhash.xxh3_128_digest(tokens.tobytes())), ("keys", keys), ("prefix", prefix)):
+                for k, v in (("doc_id", doc_id), ("size", size), ("signature", xxhash.xxh3_128_digest(tokens.tobytes())), ("keys", keys), ("least", [x - 2**63 for x in least]), ("prefix", prefix)):
                     out[k].append(v)
             yield out
 
-    return mapped(texts, rows, "doc_id long, size long, signature binary, keys array<long>, prefix binary")
+    return mapped(texts, rows, "doc_id long, size long, signature binary, keys array<long>, least array<long>, prefix binary")
 
 
 def sets_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id and tokens (bytes of the sorted set) of the documents in ``ids``, by one pass behind a filter of fixed size."""
+    """doc_id and tokens (bytes of the sorted set) of the documents in ``ids`` and a few more, by one pass behind a filter of fixed size."""
     bitmap = texts.sparkSession.sparkContext.broadcast(fixed_filter(ids))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -121,8 +123,7 @@ def sets_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             chosen = [(d, t) for d, t, k in zip(b["doc_id"], b["body"], keep, strict=True) if k]
             yield {"doc_id": [d for d, _ in chosen], "tokens": [shingles.of(t).tobytes() for _, t in chosen]}
 
-    found = mapped(texts, rows, "doc_id long, tokens binary")
-    return stored(found.join(ids.select(F.col(ids.columns[0]).alias("doc_id")), "doc_id", "left_semi").distinct(), "sets")
+    return stored(mapped(texts, rows, "doc_id long, tokens binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,15 +139,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def leader_pairs(documents: DataFrame) -> DataFrame:
-    """(a, b): each document with the least one of every key that it shares."""
-    keyed = documents.select("doc_id", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    return keyed.join(leaders, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    """(a, b): each document with the least one of every key that it shares, where most of their min-hashes agree.
+
+    A pair that this leaves out may be linked all the same; the matrix finds it.
+    """
+    keyed = documents.select("doc_id", "least", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("b"), F.col("least").alias("b_least"))).alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", "leader.*")
+    agree = F.size(F.filter(F.zip_with("least", "b_least", lambda x, y: x == y), lambda same: same))
+    return keyed.join(leaders, "key").where((F.col("doc_id") != F.col("b")) & (agree >= AGREEING)).select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def matrix(units: DataFrame, kept: np.ndarray | None) -> DataFrame:
-    """token, unit, place, size: a row for each token of a document's prefix, of shared tokens only where ``kept`` tells them."""
-    shipped = units.sparkSession.sparkContext.broadcast(kept)
+def cells(documents: DataFrame, kept: np.ndarray | None) -> DataFrame:
+    """token, doc_id, place, size: a row for each token of a document's prefix, of shared tokens only where ``kept`` tells them."""
+    shipped = documents.sparkSession.sparkContext.broadcast(kept)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         bitmap = shipped.value
@@ -156,19 +161,30 @@ def matrix(units: DataFrame, kept: np.ndarray | None) -> DataFrame:
             tokens = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
             place = np.concatenate([np.arange(k) for k in lengths]) if lengths else np.empty(0, np.int64)
             take = passes(bitmap, tokens) if bitmap is not None else np.ones(len(tokens), bool)
-            unit, size = np.repeat(np.array(b["unit"], np.int64), lengths), np.repeat(np.array(b["size"], np.int64), lengths)
-            yield {"token": tokens[take].view(np.int64), "unit": unit[take], "place": place[take].astype(np.int32), "size": size[take].astype(np.int32)}
+            doc_id, size = np.repeat(np.array(b["doc_id"], np.int64), lengths), np.repeat(np.array(b["size"], np.int64), lengths)
+            yield {"token": tokens[take].view(np.int64), "doc_id": doc_id[take], "place": place[take].astype(np.int32), "size": size[take].astype(np.int32)}
 
-    return mapped(units.select("unit", "size", "prefix"), rows, "token long, unit long, place int, size int")
+    return mapped(documents.select("doc_id", "size", "prefix"), rows, "token long, doc_id long, place int, size int")
 
 
-def candidate_units(units: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """(u, v, u_large, v_large): units whose overlap bound allows a link, u < v."""
-    spans = matrix(units, None).groupBy("token").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("token")
+def matrix(documents: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
+    """token, unit, place, least, most, large: the token-group matrix over tokens that more than one document's prefix has.
+
+    The prefixes stay where they are; only tokens move, and of those that no
+    other document has only their least and largest document.  ``units`` has the
+    unit of every document that is asked; ``sizes`` the units of several.
+    """
+    spans = cells(documents, None).groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token")
     shared = stored(spans, "shared-tokens")
-    rows = matrix(units, fixed_filter(shared)).join(shared, "token", "left_semi")
-    cells = rows.groupBy("token", "unit").agg(F.min("place").alias("place"), F.min("size").alias("least"), F.max("size").alias("most"))
-    cells = stored(cells.join(large, "unit", "left").withColumn("large", F.coalesce("large", F.lit(False))), "matrix")
+    rows = cells(documents, fixed_filter(shared)).join(shared, "token", "left_semi").join(units, "doc_id")
+    found = rows.groupBy("token", "unit").agg(F.min("place").alias("place"), F.min("size").alias("least"), F.max("size").alias("most"))
+    several = found.groupBy("token").agg(F.count(F.lit(1)).alias("units")).where("units > 1").select("token")
+    found = found.join(several, "token", "left_semi").join(sizes.select("unit", F.lit(True).alias("large")), "unit", "left")
+    return stored(found.withColumn("large", F.coalesce("large", F.lit(False))), "matrix")
+
+
+def candidate_units(cells: DataFrame, percent: int) -> DataFrame:
+    """(u, v, u_large, v_large): units whose overlap bound allows a link, u < v."""
     u, v = (cells.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("unit", "place", "least", "most", "large")]) for side in "uv")
     near = (F.col("u_most") * 100 >= F.col("v_least") * percent) & (F.col("v_most") * 100 >= F.col("u_least") * percent)
     pairs = u.join(v, "token").where((F.col("u_unit") < F.col("v_unit")) & near)
@@ -219,35 +235,32 @@ def opened(queries: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int)
     return left.cogroup(right).applyInPandas(compare, "a long, b long")
 
 
-def links_between(texts: DataFrame, documents: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
+def links_between(texts: DataFrame, groups: DataFrame, units: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links between documents of different units, at least one for every two units that have any."""
-    units = documents.join(labels, documents["doc_id"] == labels["node"], "left").withColumn("unit", F.coalesce("component", "doc_id"))
-    sizes = labels.groupBy(F.col("component").alias("unit")).agg(F.count(F.lit(1)).alias("members"))
-    candidates = stored(candidate_units(units.select("unit", "size", "prefix"), sizes.select("unit", F.lit(True).alias("large")), percent), "candidates")
+    candidates = stored(candidate_units(groups, percent), "candidates")
+    single = candidates.where(~F.col("u_large") & ~F.col("v_large")).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
     # The smaller unit's members are the queries, the larger unit's blocks are opened.
     def sized(side: str) -> DataFrame:
         return sizes.select(F.col("unit").alias(side), F.col("members").alias(f"{side}_members"))
 
-    single = candidates.where(~F.col("u_large") & ~F.col("v_large")).select(F.col("u").alias("a"), F.col("v").alias("b"))
     grouped = candidates.where(F.col("u_large") | F.col("v_large")).join(sized("u"), "u", "left").join(sized("v"), "v", "left").fillna(1, ["u_members", "v_members"])
     swap = F.col("u_members") > F.col("v_members")
     grouped = stored(grouped.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("query_unit"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("unit")), "grouped")
 
-    members = documents.select("doc_id").join(labels, documents["doc_id"] == labels["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("unit"))
-    blocked = members.join(sizes, "unit", "left").withColumn("block_no", F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("members", F.lit(1)) / BLOCK)))
-    involved = grouped.select("unit").distinct()
-    blocks = stored(blocked.join(involved, "unit", "left_semi").select("doc_id", "unit", F.xxhash64("unit", "block_no").alias("block")), "blocks")
-    block_ids = blocks.select("unit", "block").distinct()
-    query_docs = members.withColumnRenamed("unit", "query_unit").join(grouped, "query_unit").select("doc_id", "unit")
-    asked = stored(query_docs.join(block_ids, "unit").select("doc_id", "block"), "asked")
+    blocked = units.join(sizes, "unit").withColumn("block_no", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK)))
+    blocks = stored(blocked.join(grouped.select("unit").distinct(), "unit", "left_semi").select("doc_id", "unit", F.xxhash64("unit", "block_no").alias("block")), "blocks")
+    queries = units.withColumnRenamed("unit", "query_unit").join(grouped, "query_unit").select("doc_id", "unit")
+    asked = stored(queries.join(blocks.select("unit", "block").distinct(), "unit").select("doc_id", "block"), "asked")
     slices = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("slices"))
     sliced = asked.join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), "slices"))
     spread = blocks.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
 
     ids = single.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(blocks.select("doc_id")).unionByName(asked.select("doc_id")).distinct()
     sets = sets_of(texts, stored(ids, "ids"), n)
-    return verified(single, sets, percent).unionByName(opened(sliced, spread, sets, percent))
+    links = stored(verified(single, sets, percent).unionByName(opened(sliced, spread, sets, percent)).distinct(), "links")
+    discard(sets)
+    return links
 
 
 def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -264,24 +277,29 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
     nameless = texts.where("doc_id is null")
     texts = texts.where("doc_id is not null")
-    described_docs = stored(described(texts, n, percent), "described")
-    full = described_docs.where("size > 0")
+    whole = stored(described(texts, n, percent), "described")
+    every = stored(whole.drop("prefix"), "documents")
+    full = every.where("size > 0")
     equal = full.groupBy("signature").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     copies = stored(full.select("doc_id", "signature").join(equal, "signature").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "copies")
-    distinct = full.select("doc_id", "keys").join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    # Copies need not be asked again; their set is asked under the least of them.
+    distinct = full.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "keys", "least")
 
     pairs = stored(leader_pairs(distinct), "leader-pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    near = stored(verified(pairs, sets_of(texts, ids, n), percent), "leader-links")
+    sets = sets_of(texts, stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), n)
+    near = stored(verified(pairs, sets, percent).distinct(), "leader-links")
+    discard(sets)
     labels = connected(copies.unionByName(near))
-    # Copies need not be asked again; their set is asked under the least of them.
-    asked = full.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "size", "prefix")
-    between = links_between(texts, asked, labels, n, percent)
+    units = stored(distinct.select("doc_id").distinct().join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("unit")), "units")
+    sizes = stored(units.groupBy("unit").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "unit-sizes")
+    groups = matrix(whole.where("size > 0"), units, sizes)
+    discard(whole)
+    between = links_between(texts, groups, units, sizes, n, percent)
     ends = labels.select(F.col("node"), F.col("component"))
     lifted = between.join(ends.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(ends.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     merged = merged.select(F.col("node").alias("merged_node"), F.col("component").alias("merged"))
-    out = described_docs.select("doc_id", "size").join(labels, described_docs["doc_id"] == labels["node"], "left").withColumn("unit", F.coalesce("component", "doc_id"))
+    out = every.select("doc_id", "size").join(labels, every["doc_id"] == labels["node"], "left").withColumn("unit", F.coalesce("component", "doc_id"))
     out = out.join(merged, out["unit"] == merged["merged_node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("merged", "unit").alias("component_id"))
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
