@@ -112,32 +112,68 @@ def described(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return mapped(texts, rows, "doc_id long, size long, signature binary, keys array<long>, least array<long>, prefix binary")
 
 
-def sets_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id and tokens (bytes of the sorted set) of the documents in ``ids`` and a few more, by one pass behind a filter of fixed size."""
-    bitmap = texts.sparkSession.sparkContext.broadcast(fixed_filter(ids))
+def coarse(tokens: np.ndarray) -> np.ndarray:
+    """24 bits of each token, in three bytes."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 5:].copy()
+
+
+def sets_of(texts: DataFrame, ids: DataFrame, n: int, coarse_ids: DataFrame | None = None) -> DataFrame:
+    """doc_id, tokens (bytes of the sorted set, of the documents in ``ids``) and rough (24 bits a token, of ``coarse_ids``).
+
+    One pass behind filters of fixed size, which let a few more documents through.
+    """
+    none = np.zeros(1 << 13, np.uint8)
+    shipped = texts.sparkSession.sparkContext.broadcast((fixed_filter(ids), none if coarse_ids is None else fixed_filter(coarse_ids)))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles = Shingles(n)
+        shingles, (full, rough) = Shingles(n), shipped.value
         for b in batches:
-            keep = passes(bitmap.value, np.array(b["doc_id"], np.int64).view(np.uint64)) if b["doc_id"] else []
-            chosen = [(d, t) for d, t, k in zip(b["doc_id"], b["body"], keep, strict=True) if k]
-            yield {"doc_id": [d for d, _ in chosen], "tokens": [shingles.of(t).tobytes() for _, t in chosen]}
+            known = np.array(b["doc_id"], np.int64).view(np.uint64)
+            out = {"doc_id": [], "tokens": [], "rough": []}
+            for d, t, f, r in zip(b["doc_id"], b["body"], passes(full, known).tolist(), passes(rough, known).tolist(), strict=True):
+                if f or r:
+                    tokens = shingles.of(t)
+                    out["doc_id"].append(d)
+                    out["tokens"].append(tokens.tobytes() if f else None)
+                    out["rough"].append(coarse(tokens).tobytes() if r else None)
+            yield out
 
-    return stored(mapped(texts, rows, "doc_id long, tokens binary"), "sets")
+    return stored(mapped(texts, rows, "doc_id long, tokens binary, rough binary"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-    first, second = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+def _paired(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) whose sets, in ``column``, pass ``test``."""
+    held = sets.where(F.col(column).isNotNull())
+    first, second = held.select(F.col("doc_id").alias("a"), F.col(column).alias("x")), held.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for p in batches:
-            good = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(p["x"], p["y"], strict=True)]
+            good = [test(x, y) for x, y in zip(p["x"], p["y"], strict=True)]
             yield {k: [v for v, g in zip(p[k], good, strict=True) if g] for k in ("a", "b")}
 
     return mapped(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), rows, "a long, b long")
 
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked."""
+    return _paired(pairs, sets, "tokens", lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may be linked: 24 bits a token can only show more in common, and lose no more than they merge in a set."""
+
+    def decoded(raw: bytes) -> np.ndarray:
+        parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.uint32)
+        return np.unique(parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16)
+
+    def test(x: bytes, y: bytes) -> bool:
+        u, v, n, m = decoded(x), decoded(y), len(x) // 3, len(y) // 3
+        common = min(len(u) + len(v) - len(np.union1d(u, v)) + (n - len(u)), n, m)
+        return 100 * common >= percent * (n + m - common)
+
+    return _paired(pairs, sets, "rough", test)
+
+
 def leader_pairs(documents: DataFrame) -> DataFrame:
     """(a, b): each document with the least one of every key that it shares, where most of their min-hashes agree.
 
@@ -256,11 +292,13 @@ def links_between(texts: DataFrame, groups: DataFrame, units: DataFrame, sizes:
     sliced = asked.join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), "slices"))
     spread = blocks.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
 
-    ids = single.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(blocks.select("doc_id")).unionByName(asked.select("doc_id")).distinct()
-    sets = sets_of(texts, stored(ids, "ids"), n)
-    links = stored(verified(single, sets, percent).unionByName(opened(sliced, spread, sets, percent)).distinct(), "links")
+    ids = stored(blocks.select("doc_id").unionByName(asked.select("doc_id")).distinct(), "ids")
+    sets = sets_of(texts, ids, n, stored(single.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "single-ids"))
+    links = stored(opened(sliced, spread, sets.where("tokens is not null").select("doc_id", "tokens"), percent).distinct(), "group-links")
+    close = stored(possible(single, sets, percent).distinct(), "close-pairs")
     discard(sets)
-    return links
+    sets = sets_of(texts, stored(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "close-ids"), n)
+    return links.unionByName(stored(verified(close, sets, percent).distinct(), "single-links"))
 
 
 def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
