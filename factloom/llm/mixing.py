@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stored, text_or_empty
 
 #: Rows that a key bucket holds on average.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 1024
 #: Bits of the key.
 KEY_BITS = 60
 
