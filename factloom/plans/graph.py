@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,13 @@ def line_id(df: DataFrame) -> DataFrame:
     return df.withColumn("line", content_id(whole))
 
 
+@lru_cache(maxsize=8)
 def tables_as_facts(spark: SparkSession, sf_dir: str) -> FactSet:
     """Entities are ``table:key``, attributes are columns, foreign keys refer to entities.
 
     Line items serve as links from their orders: ``o_part`` and ``o_supplier`` are
-    the pairs that some line makes, and multi-valued.
+    the pairs that some line makes, and multi-valued.  Plans are kept for each
+    session and folder, as reading fourteen schemas takes longer than most plans.
     """
     t = {n: table(spark, sf_dir, n) for n in TABLES}
     lines = t["lineitem"]
