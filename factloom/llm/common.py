@@ -16,7 +16,7 @@ from factloom.sources.scratch import scratch_path, shared_dir, stored
 #: A word of the query contracts: a run of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "WordHashes", "discard", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "scratch_path", "shared_dir", "stored", "text_or_empty"]
+__all__ = ["WORD", "WordHashes", "batch_word_hashes", "discard", "distinct", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "scratch_path", "shared_dir", "stored", "text_or_empty"]
 
 
 def discard(df: DataFrame) -> None:
@@ -74,6 +74,42 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Random values of the bytes and the base of the words' polynomial hashes; blanks of the query contracts; bytes hashed at a time.
+_BYTE_VALUES = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_STEP = 1 << 20
+
+
+def batch_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of ``texts``, and where each text's words begin among them (and the last one's end).
+
+    A word's hash is the polynomial of its bytes' random values, got from running
+    sums over at least ``_STEP`` bytes, so no word is touched on its own.
+    """
+    raw = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
+    blank = np.concatenate(([True], _BLANK[raw]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _STEP, "right")))
+        begin, length = starts[at], int(ends[to - 1] - starts[at])
+        power = np.cumprod(np.full(length, _BASE, np.uint64))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[raw[begin : begin + length]] * power)))
+        shift = np.cumprod(np.full(length, pow(_BASE, -1, 2**64), np.uint64))[starts[at:to] - begin]
+        out[at:to] = mixed((sums[ends[at:to] - begin] - sums[starts[at:to] - begin]) * shift)
+        at = to
+    return out, bounds
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

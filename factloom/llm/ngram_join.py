@@ -18,6 +18,7 @@ tasks get have fixed sizes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty
+from .common import batch_word_hashes, discard, distinct, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty
 from .components import connected
 
 #: Words of a shingle; the similarity of a link in hundredths.
@@ -40,19 +41,30 @@ AGREEING = 5
 FREQUENT, SEEN = 200_000, 3
 #: Documents of a block of a group, and queries that one task compares with it.
 BLOCK, QUERIES = 256, 512
+#: Bytes of texts hashed at a time.
+PART_BYTES = 4 << 20
 
 
-class Shingles:
-    """Shingle sets of texts, as sorted arrays of 64-bit hashes."""
+def shingle_sets(texts: list[str], n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The shingle set of each text, as a sorted array of 64-bit hashes."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text.encode().lower())
+        held += len(part[-1])
+        if held >= PART_BYTES:
+            yield from _shingle_sets(part, n)
+            part, held = [], 0
+    yield from _shingle_sets(part, n)
 
-    def __init__(self, n: int = SHINGLE):
-        self.n, self.hashes = n, WordHashes()
 
-    def of(self, text: str) -> np.ndarray:
-        words = self.hashes.of(text.encode().lower().split())
-        if len(words) < self.n:  # the whole sequence, if there is one
-            return gram_hashes(words, len(words)) ^ np.uint64(len(words)) if len(words) else words
-        return np.unique(gram_hashes(words, self.n))
+def _shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    words, bounds = batch_word_hashes(texts)
+    grams = gram_hashes(words, n)
+    for low, high in itertools.pairwise(bounds.tolist()):
+        if high - low >= n:
+            yield distinct(grams[low : high - n + 1])
+        else:  # the whole sequence, if there is one
+            yield gram_hashes(words[low:high], high - low) ^ np.uint64(high - low) if high > low else words[:0]
 
 
 def needed(size: int, percent: int) -> int:
@@ -60,10 +72,17 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted sets share."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if min(len(x), len(y)) < needed(max(len(x), len(y)), percent):
         return False
-    common = len(x) + len(y) - len(np.union1d(x, y))
+    common = in_common(x, y)
     return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
 
@@ -71,9 +90,8 @@ def frequent_tokens(texts: DataFrame, n: int) -> np.ndarray:
     """Tokens in many documents, the rarer first: a list of bounded length that only steers the order."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles = Shingles(n)
         for b in batches:
-            sets = [shingles.of(t) for t in b["body"]]
+            sets = list(shingle_sets(b["body"], n))
             tokens, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
             often = count >= SEEN
             yield {"token": tokens[often].view(np.int64), "n": count[often]}
@@ -91,12 +109,11 @@ def described(texts: DataFrame, n: int, percent: int) -> DataFrame:
     shipped = spark.sparkContext.broadcast((frequent[order], order))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles, (known, rank) = Shingles(n), shipped.value
+        known, rank = shipped.value
         salts = mixed(np.arange(1, KEYS * KEY_HASHES + 1, dtype=np.uint64))
         for b in batches:
             out = {k: [] for k in ("doc_id", "size", "signature", "keys", "least", "prefix")}
-            for doc_id, text in zip(b["doc_id"], b["body"], strict=True):
-                tokens = shingles.of(text)
+            for doc_id, tokens in zip(b["doc_id"], shingle_sets(b["body"], n), strict=True):
                 size = len(tokens)
                 keys, least, prefix = [], [], b""
                 if size:
@@ -126,16 +143,15 @@ def sets_of(texts: DataFrame, ids: DataFrame, n: int, coarse_ids: DataFrame | No
     shipped = texts.sparkSession.sparkContext.broadcast((fixed_filter(ids), none if coarse_ids is None else fixed_filter(coarse_ids)))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles, (full, rough) = Shingles(n), shipped.value
+        full, rough = shipped.value
         for b in batches:
             known = np.array(b["doc_id"], np.int64).view(np.uint64)
-            out = {"doc_id": [], "tokens": [], "rough": []}
-            for d, t, f, r in zip(b["doc_id"], b["body"], passes(full, known).tolist(), passes(rough, known).tolist(), strict=True):
-                if f or r:
-                    tokens = shingles.of(t)
-                    out["doc_id"].append(d)
-                    out["tokens"].append(tokens.tobytes() if f else None)
-                    out["rough"].append(coarse(tokens).tobytes() if r else None)
+            whole, part = passes(full, known), passes(rough, known)
+            at = np.flatnonzero(whole | part).tolist()
+            out = {"doc_id": [b["doc_id"][k] for k in at], "tokens": [], "rough": []}
+            for k, tokens in zip(at, shingle_sets([b["body"][k] for k in at], n), strict=True):
+                out["tokens"].append(tokens.tobytes() if whole[k] else None)
+                out["rough"].append(coarse(tokens).tobytes() if part[k] else None)
             yield out
 
     return stored(mapped(texts, rows, "doc_id long, tokens binary, rough binary"), "sets")
@@ -164,11 +180,11 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def decoded(raw: bytes) -> np.ndarray:
         parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.uint32)
-        return np.unique(parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16)
+        return distinct(parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16)
 
     def test(x: bytes, y: bytes) -> bool:
         u, v, n, m = decoded(x), decoded(y), len(x) // 3, len(y) // 3
-        common = min(len(u) + len(v) - len(np.union1d(u, v)) + (n - len(u)), n, m)
+        common = min(in_common(u, v) + (n - len(u)), n, m)
         return 100 * common >= percent * (n + m - common)
 
     return _paired(pairs, sets, "rough", test)
@@ -247,7 +263,7 @@ def opened(queries: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             size = np.array([len(h) for h in held])
-            union = np.unique(tokens)
+            union = distinct(tokens)
             for d, t in zip(q["query_doc_id"], q["query_tokens"], strict=True):
                 x = np.frombuffer(t, np.uint64)
                 at = np.minimum(np.searchsorted(union, x), len(union) - 1)
@@ -341,9 +357,8 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     out = out.join(merged, out["unit"] == merged["merged_node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("merged", "unit").alias("component_id"))
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
-        shingles = Shingles(n)
         for b in batches:
-            yield {"doc_id": b["doc_id"], "n_shingles": [len(shingles.of(t)) for t in b["body"]], "component_id": pa.nulls(len(b["body"]), pa.int64())}
+            yield {"doc_id": b["doc_id"], "n_shingles": [len(x) for x in shingle_sets(b["body"], n)], "component_id": pa.nulls(len(b["body"]), pa.int64())}
 
     return out.unionByName(mapped(nameless, count, "doc_id long, n_shingles long, component_id long"))
 
