@@ -41,8 +41,8 @@ AGREEING = 5
 FREQUENT, SEEN = 200_000, 3
 #: Documents of a block of a group, and queries that one task compares with it.
 BLOCK, QUERIES = 256, 512
-#: Bytes of texts hashed at a time.
-PART_BYTES = 4 << 20
+#: Bytes of texts hashed at a time; tokens packed at a time, and about as many in a bucket.
+PART_BYTES, PORTION = 4 << 20, 1 << 20
 
 
 def shingle_sets(texts: list[str], n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -201,8 +201,8 @@ def leader_pairs(documents: DataFrame) -> DataFrame:
     return keyed.join(leaders, "key").where((F.col("doc_id") != F.col("b")) & (agree >= AGREEING)).select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def cells(documents: DataFrame, kept: np.ndarray | None) -> DataFrame:
-    """token, doc_id, place, size: a row for each token of a document's prefix, of shared tokens only where ``kept`` tells them."""
+def cells(documents: DataFrame, kept: np.ndarray | None = None) -> DataFrame:
+    """token, unit, place, least, most, large: a row for each token of the prefixes (unit, size, prefix, large), of those that ``kept`` tells only."""
     shipped = documents.sparkSession.sparkContext.broadcast(kept)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -212,39 +212,108 @@ def cells(documents: DataFrame, kept: np.ndarray | None) -> DataFrame:
             lengths = [len(p) for p in prefixes]
             tokens = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
             place = np.concatenate([np.arange(k) for k in lengths]) if lengths else np.empty(0, np.int64)
-            take = passes(bitmap, tokens) if bitmap is not None else np.ones(len(tokens), bool)
-            doc_id, size = np.repeat(np.array(b["doc_id"], np.int64), lengths), np.repeat(np.array(b["size"], np.int64), lengths)
-            yield {"token": tokens[take].view(np.int64), "doc_id": doc_id[take], "place": place[take].astype(np.int32), "size": size[take].astype(np.int32)}
+            take = np.ones(len(tokens), bool) if bitmap is None else passes(bitmap, prints(tokens))
+            unit, size, large = (np.repeat(np.array(b[k], kind), lengths)[take] for k, kind in (("unit", np.int64), ("size", np.int32), ("large", bool)))
+            yield {"token": tokens[take].view(np.int64), "unit": unit, "place": place[take].astype(np.int32), "least": size, "most": size, "large": large}
 
-    return mapped(documents.select("doc_id", "size", "prefix"), rows, "token long, doc_id long, place int, size int")
+    return mapped(documents.select("unit", "size", "prefix", "large"), rows, "token long, unit long, place int, least int, most int, large boolean")
 
 
-def matrix(documents: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
-    """token, unit, place, least, most, large: the token-group matrix over tokens that more than one document's prefix has.
+def prints(tokens: np.ndarray) -> np.ndarray:
+    """48 bits of each token; tokens that agree in them can only let more through a filter."""
+    return mixed(tokens) >> np.uint64(16)
 
-    The prefixes stay where they are; only tokens move, and of those that no
-    other document has only their least and largest document.  ``units`` has the
-    unit of every document that is asked; ``sizes`` the units of several.
+
+def shared_prints(alone: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
+    """The 48 bits of every token that more than one unit has.
+
+    Tokens travel as packed bytes, six a token, by bucket; of a token's rows at
+    most two leave a task's portion, so a frequent one fills no bucket.
+    """
+
+    def packed(tokens: list[np.ndarray]) -> dict:
+        values, count = np.unique(prints(np.concatenate(tokens)), return_counts=True)
+        values = np.repeat(values, np.minimum(count, 2))
+        bucket = (mixed(values) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        values, bucket = values[order].view(np.uint8).reshape(-1, 8)[:, :6], bucket[order]
+        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        return {"bucket": bucket[edges[:-1]], "held": [values[x:y].tobytes() for x, y in itertools.pairwise(edges.tolist())]}
+
+    def portions(arrays: Iterator[np.ndarray]) -> Iterator[dict]:
+        portion, n = [], 0
+        for tokens in arrays:
+            portion.append(tokens)
+            n += len(tokens)
+            if n >= PORTION:
+                yield packed(portion)
+                portion, n = [], 0
+        if n:
+            yield packed(portion)
+
+    def of_prefixes(batches: Iterator[dict]) -> Iterator[dict]:
+        return portions(np.frombuffer(p, np.uint64) for b in batches for p in b["prefix"])
+
+    def of_tokens(batches: Iterator[dict]) -> Iterator[dict]:
+        return portions(np.array(b["token"], np.int64).view(np.uint64) for b in batches)
+
+    def twice(bucket: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(bucket["held"].to_pylist()), np.uint8).reshape(-1, 6)
+        values = np.zeros((len(raw), 8), np.uint8)
+        values[:, :6] = raw
+        values = np.sort(values.reshape(-1).view(np.uint64))
+        return pa.table({"print": distinct(values[1:][values[1:] == values[:-1]]).view(np.int64)})
+
+    held = mapped(alone.select("prefix"), of_prefixes, "bucket long, held binary").unionByName(mapped(groups.select("token"), of_tokens, "bucket long, held binary"))
+    return held.groupBy("bucket").applyInArrow(twice, "print long")
+
+
+def matrix(documents: DataFrame, units: DataFrame, copies: DataFrame) -> DataFrame:
+    """token, unit, place, least, most, large: the token-group matrix over tokens that more than one unit has.
+
+    ``units`` has the unit of every document that is asked, and whether it has
+    several members.  A document that is a unit by itself keeps its prefix where
+    it is; those of groups, and copies, are told by a filter of fixed size and
+    joined with their units, whose unions take a row a token.
     """
-    spans = cells(documents, None).groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token")
-    shared = stored(spans, "shared-tokens")
-    rows = cells(documents, fixed_filter(shared)).join(shared, "token", "left_semi").join(units, "doc_id")
-    found = rows.groupBy("token", "unit").agg(F.min("place").alias("place"), F.min("size").alias("least"), F.max("size").alias("most"))
-    several = found.groupBy("token").agg(F.count(F.lit(1)).alias("units")).where("units > 1").select("token")
-    found = found.join(several, "token", "left_semi").join(sizes.select("unit", F.lit(True).alias("large")), "unit", "left")
-    return stored(found.withColumn("large", F.coalesce("large", F.lit(False))), "matrix")
+    others = stored(units.where("large").select("doc_id").unionByName(copies.select(F.col("a").alias("doc_id"))).distinct(), "others")
+    shipped = documents.sparkSession.sparkContext.broadcast(fixed_filter(others))
+
+    def told(batches: Iterator[dict], want: bool) -> Iterator[dict]:
+        for b in batches:
+            at = np.flatnonzero(passes(shipped.value, np.array(b["doc_id"], np.int64).view(np.uint64)) == want).tolist()
+            yield {k: [v[i] for i in at] for k, v in b.items()}
+
+    schema = "doc_id long, size long, prefix binary"
+    parts = documents.select("doc_id", "size", "prefix")
+    alone = mapped(parts, lambda batches: told(batches, False), schema).select(F.col("doc_id").alias("unit"), "size", "prefix", F.lit(False).alias("large"))
+    grouped = mapped(parts, lambda batches: told(batches, True), schema).join(units, "doc_id")
+    groups = cells(grouped).groupBy("token", "unit").agg(F.min("place").alias("place"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("large").alias("large"))
+    groups = stored(groups, "groups")
+    tokens = documents.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
+    kept = fixed_filter(stored(shared_prints(alone, groups, max(64, int(tokens) // PORTION)), "shared-prints"))
+    bitmap = documents.sparkSession.sparkContext.broadcast(kept)
+
+    def shared(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            at = np.flatnonzero(passes(bitmap.value, prints(np.array(b["token"], np.int64).view(np.uint64)))).tolist()
+            yield {k: [v[i] for i in at] for k, v in b.items()}
+
+    return stored(cells(alone, kept).unionByName(mapped(groups, shared, "token long, unit long, place int, least int, most int, large boolean")), "matrix")
 
 
-def candidate_units(cells: DataFrame, percent: int) -> DataFrame:
+def candidate_units(groups: DataFrame, percent: int) -> DataFrame:
     """(u, v, u_large, v_large): units whose overlap bound allows a link, u < v."""
-    u, v = (cells.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("unit", "place", "least", "most", "large")]) for side in "uv")
+    u, v = (groups.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("unit", "place", "least", "most", "large")]) for side in "uv")
     near = (F.col("u_most") * 100 >= F.col("v_least") * percent) & (F.col("v_most") * 100 >= F.col("u_least") * percent)
+    # All that two linked sets share is at or after the first token that their prefixes share.
+    ahead = F.least(F.col("u_most") - F.col("u_place"), F.col("v_most") - F.col("v_place")) * (100 + percent) >= (F.col("u_least") + F.col("v_least")) * percent
     pairs = u.join(v, "token").where((F.col("u_unit") < F.col("v_unit")) & near)
-    pairs = pairs.groupBy("u_unit", "v_unit").agg(F.count(F.lit(1)).alias("common"), F.max("u_place").alias("i"), F.max("v_place").alias("j"), *[F.first(c).alias(c) for c in ("u_least", "v_least", "u_large", "v_large")])
-    # After the last shared token of both prefixes the overlap is at most what is left of either set.
+    pairs = pairs.groupBy("u_unit", "v_unit").agg(F.count(F.lit(1)).alias("common"), F.max("u_place").alias("i"), F.max("v_place").alias("j"), F.max(ahead).alias("ahead"), *[F.min(c).alias(c) for c in ("u_least", "v_least", "u_large", "v_large")])
+    # After the last shared token of both prefixes the overlap of two single sets is at most what is left of either.
     bound = F.col("common") + F.least(F.col("u_least") - F.col("i"), F.col("v_least") - F.col("j")) - 1
     enough = bound * (100 + percent) >= (F.col("u_least") + F.col("v_least")) * percent
-    return pairs.where(F.col("u_large") | F.col("v_large") | enough).select(F.col("u_unit").alias("u"), F.col("v_unit").alias("v"), "u_large", "v_large")
+    return pairs.where(F.col("ahead") & (F.col("u_large") | F.col("v_large") | enough)).select(F.col("u_unit").alias("u"), F.col("v_unit").alias("v"), "u_large", "v_large")
 
 
 def opened(queries: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -337,16 +406,17 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     equal = full.groupBy("signature").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     copies = stored(full.select("doc_id", "signature").join(equal, "signature").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "copies")
     # Copies need not be asked again; their set is asked under the least of them.
-    distinct = full.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "keys", "least")
+    asked = full.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "keys", "least")
 
-    pairs = stored(leader_pairs(distinct), "leader-pairs")
+    pairs = stored(leader_pairs(asked), "leader-pairs")
     sets = sets_of(texts, stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), n)
     near = stored(verified(pairs, sets, percent).distinct(), "leader-links")
     discard(sets)
     labels = connected(copies.unionByName(near))
-    units = stored(distinct.select("doc_id").distinct().join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("unit")), "units")
+    units = stored(asked.select("doc_id").distinct().join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("unit")), "units")
     sizes = stored(units.groupBy("unit").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "unit-sizes")
-    groups = matrix(whole.where("size > 0"), units, sizes)
+    marked = units.join(sizes.select("unit", F.lit(True).alias("large")), "unit", "left").select("doc_id", "unit", F.coalesce("large", F.lit(False)).alias("large"))
+    groups = matrix(whole.where("size > 0"), stored(marked, "marked-units"), copies)
     discard(whole)
     between = links_between(texts, groups, units, sizes, n, percent)
     ends = labels.select(F.col("node"), F.col("component"))
