@@ -129,18 +129,29 @@ def described(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return mapped(texts, rows, "doc_id long, size long, signature binary, keys array<long>, least array<long>, prefix binary")
 
 
-def coarse(tokens: np.ndarray) -> np.ndarray:
-    """24 bits of each token, in three bytes."""
-    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 5:].copy()
+def parities(tokens: np.ndarray) -> bytes:
+    """A set's size, and the parity of its tokens in each of some slots, four or more a token."""
+    slots = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mixed(tokens) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def sets_of(texts: DataFrame, ids: DataFrame, n: int, coarse_ids: DataFrame | None = None) -> DataFrame:
-    """doc_id, tokens (bytes of the sorted set, of the documents in ``ids``) and rough (24 bits a token, of ``coarse_ids``).
+def most_in_common(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """The sizes of two sets, and a bound of their overlap: each slot whose parities differ has a token of one set only."""
+    (n, u), (m, v) = ((int.from_bytes(raw[:8], "little"), np.frombuffer(raw, np.uint8, offset=8)) for raw in (x, y))
+    while len(u) != len(v):  # halves of the longer one fall together
+        u, v = (u, v) if len(u) > len(v) else (v, u)
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return n, m, min((n + m - int(np.bitwise_count(u ^ v).sum())) // 2, n, m)
+
+
+def sets_of(texts: DataFrame, ids: DataFrame, n: int, rough_ids: DataFrame | None = None) -> DataFrame:
+    """doc_id, tokens (bytes of the sorted set, of the documents in ``ids``) and rough (parities, of ``rough_ids``).
 
     One pass behind filters of fixed size, which let a few more documents through.
     """
     none = np.zeros(1 << 13, np.uint8)
-    shipped = texts.sparkSession.sparkContext.broadcast((fixed_filter(ids), none if coarse_ids is None else fixed_filter(coarse_ids)))
+    shipped = texts.sparkSession.sparkContext.broadcast((fixed_filter(ids), none if rough_ids is None else fixed_filter(rough_ids)))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         full, rough = shipped.value
@@ -151,7 +162,7 @@ def sets_of(texts: DataFrame, ids: DataFrame, n: int, coarse_ids: DataFrame | No
             out = {"doc_id": [b["doc_id"][k] for k in at], "tokens": [], "rough": []}
             for k, tokens in zip(at, shingle_sets([b["body"][k] for k in at], n), strict=True):
                 out["tokens"].append(tokens.tobytes() if whole[k] else None)
-                out["rough"].append(coarse(tokens).tobytes() if part[k] else None)
+                out["rough"].append(parities(tokens) if part[k] else None)
             yield out
 
     return stored(mapped(texts, rows, "doc_id long, tokens binary, rough binary"), "sets")
@@ -176,15 +187,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that may be linked: 24 bits a token can only show more in common, and lose no more than they merge in a set."""
-
-    def decoded(raw: bytes) -> np.ndarray:
-        parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.uint32)
-        return distinct(parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16)
+    """The pairs that may be linked, as far as parities tell; none that is linked is lost."""
 
     def test(x: bytes, y: bytes) -> bool:
-        u, v, n, m = decoded(x), decoded(y), len(x) // 3, len(y) // 3
-        common = min(in_common(u, v) + (n - len(u)), n, m)
+        n, m, common = most_in_common(x, y)
         return 100 * common >= percent * (n + m - common)
 
     return _paired(pairs, sets, "rough", test)
