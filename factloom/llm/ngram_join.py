@@ -168,6 +168,11 @@ def sets_of(texts: DataFrame, ids: DataFrame, n: int, rough_ids: DataFrame | Non
     return stored(mapped(texts, rows, "doc_id long, tokens binary, rough binary"), "sets")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """doc_id of both ends of each pair, repeats and all."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
 def _paired(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     """The pairs (a, b) whose sets, in ``column``, pass ``test``."""
     held = sets.where(F.col(column).isNotNull())
@@ -282,7 +287,7 @@ def matrix(documents: DataFrame, units: DataFrame, copies: DataFrame) -> DataFra
     it is; those of groups, and copies, are told by a filter of fixed size and
     joined with their units, whose unions take a row a token.
     """
-    others = stored(units.where("large").select("doc_id").unionByName(copies.select(F.col("a").alias("doc_id"))).distinct(), "others")
+    others = units.where("large").select("doc_id").unionByName(copies.select(F.col("a").alias("doc_id")))
     shipped = documents.sparkSession.sparkContext.broadcast(fixed_filter(others))
 
     def told(batches: Iterator[dict], want: bool) -> Iterator[dict]:
@@ -383,13 +388,12 @@ def links_between(texts: DataFrame, groups: DataFrame, units: DataFrame, sizes:
     sliced = asked.join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), "slices"))
     spread = blocks.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
 
-    ids = stored(blocks.select("doc_id").unionByName(asked.select("doc_id")).distinct(), "ids")
-    sets = sets_of(texts, ids, n, stored(single.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "single-ids"))
-    links = stored(opened(sliced, spread, sets.where("tokens is not null").select("doc_id", "tokens"), percent).distinct(), "group-links")
-    close = stored(possible(single, sets, percent).distinct(), "close-pairs")
+    sets = sets_of(texts, blocks.select("doc_id").unionByName(asked.select("doc_id")), n, ends_of(single))
+    links = stored(opened(sliced, spread, sets.where("tokens is not null").select("doc_id", "tokens"), percent), "group-links")
+    close = stored(possible(single, sets, percent), "close-pairs")
     discard(sets)
-    sets = sets_of(texts, stored(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "close-ids"), n)
-    return links.unionByName(stored(verified(close, sets, percent).distinct(), "single-links"))
+    sets = sets_of(texts, ends_of(close), n)
+    return links.unionByName(stored(verified(close, sets, percent), "single-links"))
 
 
 def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -415,8 +419,8 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     asked = full.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "keys", "least")
 
     pairs = stored(leader_pairs(asked), "leader-pairs")
-    sets = sets_of(texts, stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), n)
-    near = stored(verified(pairs, sets, percent).distinct(), "leader-links")
+    sets = sets_of(texts, ends_of(pairs), n)
+    near = stored(verified(pairs, sets, percent), "leader-links")
     discard(sets)
     labels = connected(copies.unionByName(near))
     units = stored(asked.select("doc_id").distinct().join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("unit")), "units")
