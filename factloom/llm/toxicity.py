@@ -1,25 +1,29 @@
 """Toxicity by the nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over words and word beginnings that
-tell the labels apart.  The examples' inverted index is cut into blocks of 64;
-each feature's largest weight in a block bounds every cosine in it, so blocks
-are opened from the highest bound down until no bound reaches the k-th best
-cosine: the neighbours found are exactly the nearest.  They vote with their
-squared cosines against a prior; a logistic curve, fitted on the examples with
-each one left out of its own vote, turns votes into calibrated scores.
-
-Scale: texts are read twice, for the sample's features and for the vectors, and
-never shuffled.  The index is fitted on a bounded sample of labelled rows
-(``EXAMPLES`` of each label, by hash), hence its broadcast is bounded too;
-document frequencies count all documents.
+Examples and documents are TF-IDF vectors over all words and word beginnings of
+the sampled examples, and every example is in the index.  What tells the labels
+apart weighs more; no feature weighs less than its TF-IDF.  Features that many
+examples hold are searched by a matrix product, the others by their postings;
+the cosines so found only choose candidates, which are compared in full, so the
+neighbours are exactly the nearest.  They vote with their squared cosines against
+a prior; a logistic curve, fitted on the examples with each one left out of its
+own vote, turns votes into calibrated scores.
+
+Scale: texts are read three times, for the sample, the document frequencies and
+the scores, and neither stored nor shuffled.  The index is fitted on a bounded
+sample of labelled rows (``EXAMPLES`` of each label, by hash), hence its
+broadcast is bounded too; document frequencies count all documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,93 +32,206 @@ from .common import mapped, stored, text_or_empty
 WORDS = re.compile(r"\w+").findall
 #: Labelled rows of each label that the classifier is fitted on, at most (the documented bound of the sample).
 EXAMPLES = 4096
-#: Features kept at most, and what one must show: training documents that hold it,
-#: its chi-square value, and how many times as frequent it is with one label.
-FEATURES, LEAST_HOLDERS, LEAST_CHI, LEAST_RATIO = 1024, 3, 6.63, 20.0
-#: Vectors that a task scores.
-SCORED = 8192
-#: Neighbours that vote; the prior's weight in a vote; rows of a block of the index.
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 16, 0.5, 64
+#: Neighbours that vote; the prior's weight in a vote.
+NEIGHBOURS, PRIOR_WEIGHT = 16, 0.5
 #: Lengths of word beginnings.
 BEGINNINGS = (3, 4, 5, 6)
+#: Features of more than this share of the examples go through the matrix product, ``DENSE`` of them at most.
+COMMON_SHARE, DENSE = 0.03, 2048
+#: Documents searched at a time, and characters turned to vectors at a time.
+SEARCHED, CHARACTERS = 128, 1 << 19
 
 
 def features_of(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
 
 
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs of ``lengths`` from ``starts``, one run after the other."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+
+
 class Features:
-    """Feature counts of texts over a fixed list of features."""
+    """Feature counts of texts over a fixed list of features; words are looked up once, up to a bounded number."""
 
     MOST = 400_000
 
     def __init__(self, names: list[str]):
-        self.ids = {n: k for k, n in enumerate(names)}
-        self.none: set[str] = set()
-
-    def counts(self, text: str) -> dict[int, int]:
-        words = Counter(WORDS(text.lower()))
-        found: dict[int, int] = {}
-        for w in words.keys() - self.none:
-            ids = [self.ids[f] for f in features_of(w) if f in self.ids]
-            if not ids:
-                if len(self.none) >= self.MOST:
-                    self.none.clear()
-                self.none.add(w)
-            for i in ids:
-                found[i] = found.get(i, 0) + words[w]
-        return found
-
-
-class BlockMaxIndex:
-    """Exact nearest examples by cosine, with an upper bound for each block of examples."""
+        self.names = names
+        self.ids: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getstate__(self) -> list[str]:
+        return self.names
+
+    def __setstate__(self, names: list[str]) -> None:
+        self.__init__(names)
+
+    def _look_up(self, word: str) -> int:
+        n = self.known[word] = len(self.begins) - 1
+        self.flat.extend(self.ids[f] for f in features_of(word) if f in self.ids)
+        self.begins.append(len(self.flat))
+        return n
+
+    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's entries begin (and the last one's end), their features in order, their counts."""
+        if not self.ids or len(self.known) > self.MOST:
+            self.ids = self.ids or {n: k for k, n in enumerate(self.names)}
+            self.known, self.flat, self.begins = {}, array("i"), array("q", [0])
+        lists = [WORDS(t.lower()) for t in texts]
+        get, look_up = self.known.get, self._look_up
+        local = np.fromiter((look_up(w) if (k := get(w)) is None else k for w in chain.from_iterable(lists)), np.int64)
+        text, n = np.repeat(np.arange(len(lists)), list(map(len, lists))), len(self.begins)
+        held, times = np.unique(text * n + local, return_counts=True)
+        text, local = held // n, held % n
+        begins = np.frombuffer(self.begins, np.int64)
+        starts, lengths = begins[local], begins[local + 1] - begins[local]
+        del begins
+        flat = np.frombuffer(self.flat, np.int32) if self.flat else np.empty(0, np.int32)
+        width = max(1, len(self.names))
+        keys = np.repeat(text, lengths) * width + flat[runs(starts, lengths)]
+        del flat
+        found, at = np.unique(keys, return_inverse=True)
+        counts = np.bincount(at, np.repeat(times, lengths), len(found))
+        return np.searchsorted(found, np.arange(len(texts) + 1) * width), found % width, counts
+
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first text, and what ``vectors`` gives) of parts of the texts of a bounded size."""
+        at = 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and to - at < SEARCHED and size + len(texts[to]) <= CHARACTERS:
+                size += len(texts[to])
+                to += 1
+            yield at, *self.vectors(texts[at:to])
+            at = to
+
+
+class ExampleIndex:
+    """Exact nearest examples by cosine."""
 
     def __init__(self, vectors: list[dict[int, int]], idf: np.ndarray, ids: list[int], labels: list[int]):
-        self.idf = idf
-        unit = [self.unit(v) for v in vectors]
-        # Examples alike stand together, which keeps the bounds of a block tight.
-        order = sorted((k for k, (f, _) in enumerate(unit) if len(f)), key=lambda k: (labels[k], int(unit[k][0][np.argmax(unit[k][1])]), ids[k]))
-        self.ids = np.array([ids[k] for k in order], np.int64)
-        self.labels = np.array([labels[k] for k in order], np.float64)
-        n = -(-len(order) // BLOCK) * BLOCK
-        self.weights = np.zeros((len(idf), n), np.float32)
-        for row, k in enumerate(order):
-            self.weights[unit[k][0], row] = unit[k][1]
-        self.bounds = self.weights.reshape(len(idf), -1, BLOCK).max(axis=2) if n else np.zeros((len(idf), 0), np.float32)
+        pairs = [(np.array(sorted(v), np.int64), np.array([v[f] for f in sorted(v)], np.float64)) for v in vectors]
+        self._fill(pairs, idf, ids, labels)
+
+    @classmethod
+    def of(cls, pairs: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, ids: list[int], labels: list[int]) -> ExampleIndex:
+        """From (features in order, counts) of each example."""
+        index = cls.__new__(cls)
+        index._fill(pairs, idf, ids, labels)
+        return index
+
+    def _fill(self, pairs, idf, ids, labels) -> None:
+        self.idf, self.ids, self.labels = idf, np.array(ids, np.int64), np.array(labels, np.float64)
+        # Examples with the same vector are searched as one, which also makes their cosines equal.
+        alike: dict[tuple[bytes, bytes], list[int]] = {}
+        for k, (f, n) in enumerate(pairs):
+            alike.setdefault((f.tobytes(), n.tobytes()), []).append(k)
+        self.rows = list(alike.values())
+        own = [pairs[rows[0]] for rows in self.rows]
+        self.begins = np.cumsum([0, *(len(f) for f, _ in own)])
+        self.features = np.concatenate([np.empty(0, np.int32), *(f for f, _ in own)]).astype(np.int32)
+        self.times = np.concatenate([np.empty(0, np.int32), *(n for _, n in own)]).astype(np.int32)
+        self.opened = False
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("idf", "ids", "labels", "rows", "begins", "features", "times")} | {"opened": False}
+
+    def _open(self) -> None:
+        """The matrix of common features and the postings of the others, made where they are used."""
+        if self.opened:
+            return
+        n, width = len(self.rows), len(self.idf)
+        vector = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begins))
+        weights = self.weigh(vector, self.features, self.times, n)
+        held = np.bincount(self.features, minlength=width)
+        common = np.argsort(-held, kind="stable")[:DENSE]
+        common = common[held[common] > COMMON_SHARE * n]
+        self.place = np.full(width, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        place = self.place[self.features]
+        self.dense = np.zeros((len(common), n), np.float32)
+        inside = place >= 0
+        self.dense[place[inside], vector[inside]] = weights[inside]
+        rare = np.flatnonzero(~inside)
+        rare = rare[np.argsort(self.features[rare], kind="stable")]
+        self.posted, self.posted_weights = vector[rare].astype(np.int64), weights[rare].astype(np.float32)
+        self.post_begins = np.concatenate(([0], np.cumsum(np.where(self.place < 0, held, 0))))
+        self.values, self.scratch, self.opened = weights, np.zeros(width), True
+
+    @property
+    def weights(self) -> np.ndarray:
+        """All weights as a matrix of features and examples."""
+        self._open()
+        out = np.zeros((len(self.idf), len(self.ids)))
+        for u, rows in enumerate(self.rows):
+            part = slice(self.begins[u], self.begins[u + 1])
+            out[self.features[part, None], np.array(rows)] = self.values[part, None]
+        return out
+
+    def weigh(self, vector: np.ndarray, features: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """Weights that give each of ``n`` vectors a length of one."""
+        weights = (1 + np.log(times)) * self.idf[features]
+        return weights / np.sqrt(np.bincount(vector, weights * weights, n))[vector]
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Features and weights of a vector of length one; empty without features."""
         features = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log(np.array([counts[f] for f in features.tolist()], np.float64))) * self.idf[features]
-        length = np.sqrt((weights**2).sum())
-        return (features, weights / length) if len(features) and length > 0 else (features[:0], weights[:0])
+        return features, self.weigh(np.zeros(len(features), np.int64), features, np.array([counts[f] for f in features.tolist()], np.float64), 1)
 
     def nearest(self, counts: dict[int, int], k: int, without: int | None = None) -> list[tuple[float, int]]:
         """(cosine, row) of the k examples with the largest positive cosine; ties go to the lower row."""
-        features, weights = self.unit(counts)
-        if not len(features) or not len(self.ids):
-            return []
-        bounds = weights @ self.bounds[features]
-        best: list[tuple[float, int]] = []
-        order = np.argsort(-bounds, kind="stable")
-        for begin in range(0, len(order), 8):
-            blocks = order[begin : begin + 8]
-            if bounds[blocks[0]] <= 0 or len(best) == k and bounds[blocks[0]] < best[-1][0] - 1e-6:
-                break
-            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cosines = weights @ self.weights[np.ix_(features, rows)]
-            least = best[-1][0] if len(best) == k else 0.0
-            for at in np.flatnonzero((cosines > 0) & (cosines >= least)).tolist():
-                if rows[at] != without:
-                    best.append((round(float(cosines[at]), 9), int(rows[at])))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        features = np.array(sorted(counts), np.int64)
+        times = np.array([counts[f] for f in features.tolist()], np.float64)
+        return self.nearest_of(np.array([0, len(features)]), features, times, k, [without])[0]
+
+    def nearest_of(self, bounds: np.ndarray, features: np.ndarray, times: np.ndarray, k: int, without: list[int | None] | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of vectors that lie one after the other, each without the row named for it."""
+        self._open()
+        m, n, most = len(bounds) - 1, len(self.rows), k + (without is not None)
+        if not n or not len(features):
+            return [[] for _ in range(m)]
+        vector = np.repeat(np.arange(m), np.diff(bounds))
+        weights = self.weigh(vector, features, times, m)
+        place = self.place[features]
+        inside = place >= 0
+        queries = np.zeros((m, len(self.dense)), np.float32)
+        queries[vector[inside], place[inside]] = weights[inside]
+        cosines = queries @ self.dense
+        posted, posted_weights = self.posted, self.posted_weights
+        for q in range(m):
+            mine = np.flatnonzero(~inside[bounds[q] : bounds[q + 1]]) + bounds[q]
+            starts, ends = self.post_begins[features[mine]], self.post_begins[features[mine] + 1]
+            cuts = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            if cuts:
+                sums = np.concatenate([posted_weights[c] for c in cuts]) * np.repeat(weights[mine].astype(np.float32), ends - starts)
+                cosines[q] += np.bincount(np.concatenate([posted[c] for c in cuts]), sums, n).astype(np.float32)
+        # Single precision chooses more than enough candidates.
+        least = np.partition(cosines, n - most, axis=1)[:, n - most] - 1e-5 if n > most else np.zeros(m)
+        who, candidates = np.nonzero((cosines >= least[:, None]) & (cosines > 0))
+        edges, out = np.searchsorted(who, np.arange(m + 1)), []
+        for q in range(m):
+            own, mine = candidates[edges[q] : edges[q + 1]], slice(bounds[q], bounds[q + 1])
+            self.scratch[features[mine]] = weights[mine]
+            cuts = [slice(a, b) for a, b in zip(self.begins[own].tolist(), self.begins[own + 1].tolist(), strict=True)]
+            exact = [float(self.scratch.take(self.features[c]) @ self.values[c]) for c in cuts]
+            self.scratch[features[mine]] = 0
+            skip = None if without is None else without[q]
+            near = [(round(c, 9), row) for c, u in zip(exact, own.tolist(), strict=True) for row in self.rows[u] if row != skip]
+            out.append(sorted(near, key=lambda x: (-x[0], x[1]))[:k])
+        return out
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
         weight = sum(c * c for c, _ in near)
         return (sum(c * c * self.labels[r] for c, r in near) + PRIOR_WEIGHT * prior) / (weight + PRIOR_WEIGHT)
 
 
+#: The index's former name.
+BlockMaxIndex = ExampleIndex
+
+
 def logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Intercept and slope of a calibration curve on the votes' log odds, by Newton's method with a weak pull to the identity."""
     x = np.stack([np.ones_like(votes), np.log(votes / (1 - votes))])
@@ -126,25 +243,9 @@ def logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
     return float(b[0]), float(max(b[1], 0.05))
 
 
-class Model:
-    """An index, the prior and the calibration."""
-
-    def __init__(self, index: BlockMaxIndex, prior: float, curve: tuple[float, float]):
-        self.index, self.prior, self.curve = index, prior, curve
-        self.known: dict = {}
-
-    def calibrated(self, vote: float) -> float:
-        vote = min(max(vote, 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log(vote / (1 - vote))))))
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        key = tuple(sorted(counts.items()))
-        if key not in self.known:
-            near = self.index.nearest(counts, NEIGHBOURS)
-            if len(self.known) > 20_000:
-                self.known.clear()
-            self.known[key] = self.calibrated(self.index.vote(near, self.prior)), near
-        return self.known[key]
+def calibrated(vote: float, curve: tuple[float, float]) -> float:
+    vote = min(max(vote, 1e-6), 1 - 1e-6)
+    return float(1 / (1 + np.exp(-(curve[0] + curve[1] * np.log(vote / (1 - vote))))))
 
 
 def is_held_out() -> Column:
@@ -160,29 +261,26 @@ def sampled_labels(labels: DataFrame, examples: int) -> tuple[DataFrame, float]:
     return parts[0].unionByName(parts[1]), (ones or 0) / count if count else 0.0
 
 
-def select_features(rows: DataFrame, sizes: dict[int, int]) -> list[str]:
-    """The features that tell the labels apart best, by the chi-square distance of their shares."""
+def all_features(rows: DataFrame) -> list[str]:
+    """Every word and word beginning of the rows."""
 
-    def count(batches):
-        held = {0: Counter(), 1: Counter()}
+    def held(batches):
+        seen: set[str] = set()
         for b in batches:
-            for y, text in zip(b["label"], b["body"], strict=True):
-                held[y].update({f for w in set(WORDS(text.lower())) for f in features_of(w)})
-            if sum(map(len, held.values())) > 500_000:
-                for y, c in held.items():
-                    yield {"label": [y] * len(c), "feature": list(c), "n": list(c.values())}
-                    c.clear()
-        for y, c in held.items():
-            yield {"label": [y] * len(c), "feature": list(c), "n": list(c.values())}
-
-    counts = mapped(rows.select("label", "body"), count, "label int, feature string, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("zeros"))
-    a, b = (F.col("ones") + 0.5) / (sizes.get(1, 0) + 1), (F.col("zeros") + 0.5) / (sizes.get(0, 0) + 1)
-    held, every = F.col("ones") + F.col("zeros"), sizes.get(1, 0) + sizes.get(0, 0) + 2
-    pooled = (held + 1) / every
-    chi = (a - b) ** 2 / (pooled * (1 - pooled) * (1 / (sizes.get(1, 0) + 1) + 1 / (sizes.get(0, 0) + 1)))
-    telling = (held >= LEAST_HOLDERS) & (pooled < 1) & (chi >= LEAST_CHI) & (F.greatest(a, b) >= LEAST_RATIO * F.least(a, b))
-    best = counts.where(telling).orderBy(((a - b) ** 2 / (a + b)).desc(), "feature").limit(FEATURES)
-    return [r.feature for r in best.select("feature").collect()]
+            new = {f for text in b["body"] for w in set(WORDS(text.lower())) for f in features_of(w)} - seen
+            seen |= new
+            yield {"feature": list(new)}
+
+    return sorted(r.feature for r in mapped(rows.select("body"), held, "feature string").distinct().collect())
+
+
+def relevance(held: list[np.ndarray], labels: list[int], width: int) -> np.ndarray:
+    """One plus the root of each feature's chi-square value for the labels: what tells them apart weighs more, nothing weighs less."""
+    ones, zeros = (np.bincount(np.concatenate([np.empty(0, np.int32), *(f for f, x in zip(held, labels, strict=True) if x == y)]).astype(np.int64), minlength=width) for y in (1, 0))
+    n1, n0 = labels.count(1) + 1, labels.count(0) + 1
+    pooled = (ones + zeros + 1) / (n1 + n0)
+    variance = np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0)
+    return 1 + np.abs((ones + 0.5) / n1 - (zeros + 0.5) / n0) / np.sqrt(variance)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
@@ -198,52 +296,73 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     don't matter; an empty table gives no rows.
     """
     sample, prior = sampled_labels(labels, examples)
-    sample = stored(sample, "toxic-sample")
-    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
-    # At most ``examples`` rows of each label: a bounded broadcast.
-    names = select_features(texts.join(F.broadcast(sample), "doc_id"), sizes)
-
-    def vectorise(batches):
-        features = Features(names)
-        for b in batches:
-            counts = [sorted(features.counts(t).items()) for t in b["body"]]
-            yield {"doc_id": b["doc_id"], "features": [[f for f, _ in c] for c in counts], "times": [[n for _, n in c] for c in counts]}
-
-    vectors = stored(mapped(texts, vectorise, "doc_id long, features array<int>, times array<int>"), "toxic-vectors")
-    total = vectors.count()
+    # At most ``examples`` rows of each label, one a document: a bounded broadcast.
+    rows = texts.join(F.broadcast(stored(sample, "toxic-sample")), "doc_id")
+    rows = stored(rows.groupBy("doc_id", "label").agg(F.max("body").alias("body")), "toxic-examples")
+    context = docs.sparkSession.sparkContext
+    names = context.broadcast(Features(all_features(rows)))
 
     def holders(batches):
-        held = Counter()
+        held, total = np.zeros(len(names.value), np.int64), 0
         for b in batches:
-            for f in b["features"]:
-                held.update(f)
-        yield {"f": list(held), "n": list(held.values())}
-
-    frequency = np.zeros(len(names))
-    for r in mapped(vectors.select("features"), holders, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
-        frequency[r.f] = r.n
+            for _, _, features, _ in names.value.parts(b["body"]):
+                held += np.bincount(features, minlength=len(held))
+            total += len(b["body"])
+        yield {"total": [total], "held": [held.astype(np.int32).tobytes()]}
+
+    total, frequency = 0, np.zeros(len(names.value))
+    for r in mapped(texts.select("body"), holders, "total long, held binary").toLocalIterator():
+        total += r.total
+        frequency += np.frombuffer(r.held, np.int32)
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
-    # The sample's vectors, one a document; no more rows than the sample has.
-    own = vectors.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.max(F.struct("features", "times")).alias("v")).orderBy("doc_id").collect()
-    index = BlockMaxIndex([dict(zip(r.v.features, r.v.times, strict=True)) for r in own], idf, [r.doc_id for r in own], [r.label for r in own])
-    # The sample takes as many of each label; weights give each label its share of all training rows.
-    share = {1: prior / max(1, sizes.get(1, 0)), 0: (1 - prior) / max(1, sizes.get(0, 0))}
-    row_of = {d: k for k, d in enumerate(index.ids.tolist())}
-    votes = [index.vote(index.nearest(dict(zip(r.v.features, r.v.times, strict=True)), NEIGHBOURS, row_of.get(r.doc_id)), prior) for r in own]
-    both = len({r.label for r in own}) == 2
-    curve = logistic(np.clip(votes, 1e-6, 1 - 1e-6), np.array([r.label for r in own], float), np.array([share[r.label] for r in own]) * len(own)) if both else (0.0, 1.0)
-    shipped = docs.sparkSession.sparkContext.broadcast((index, prior, curve))
+    def vectorise(batches):
+        for b in batches:
+            for at, bounds, features, times in names.value.parts(b["body"]):
+                to = at + len(bounds) - 1
+                cut = [slice(i, j) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield {"doc_id": b["doc_id"][at:to], "label": b["label"][at:to], "features": [features[c].astype(np.int32).tobytes() for c in cut], "times": [times[c].astype(np.int32).tobytes() for c in cut]}
+
+    own = sorted(mapped(rows, vectorise, "doc_id long, label int, features binary, times binary").collect(), key=lambda r: r.doc_id)
+    pairs = [(np.frombuffer(r.features, np.int32), np.frombuffer(r.times, np.int32)) for r in own]
+    ids, known = [r.doc_id for r in own], [r.label for r in own]
+    shipped = context.broadcast(ExampleIndex.of(pairs, idf * relevance([f for f, _ in pairs], known, len(idf)), ids, known))
+    del own, pairs
+
+    def own_votes(batches):
+        index = shipped.value
+        row_of = {d: k for k, d in enumerate(index.ids.tolist())}
+        for b in batches:
+            for at, bounds, features, times in names.value.parts(b["body"]):
+                ids = b["doc_id"][at : at + len(bounds) - 1]
+                near = index.nearest_of(bounds, features, times, NEIGHBOURS, [row_of[d] for d in ids])
+                yield {"doc_id": ids, "vote": [index.vote(x, prior) for x in near]}
+
+    curve = (0.0, 1.0)
+    if len(set(known)) == 2:
+        found = {r.doc_id: r.vote for r in mapped(rows, own_votes, "doc_id long, vote double").collect()}
+        # The sample takes as many of each label; weights give each label its share of all training rows.
+        sizes = {y: known.count(y) for y in (0, 1)}
+        share = {1: prior / sizes[1], 0: (1 - prior) / sizes[0]}
+        curve = logistic(np.clip([found[d] for d in ids], 1e-6, 1 - 1e-6), np.array(known, float), np.array([share[y] for y in known]) * len(known))
 
     def score(batches):
-        model = Model(*shipped.value)
+        index, seen = shipped.value, {}
         for b in batches:
-            found = [model.score(dict(zip(f, n, strict=True))) for f, n in zip(b["features"], b["times"], strict=True)]
-            near = [[{"doc_id": int(model.index.ids[r]), "cosine": c, "label": int(model.index.labels[r])} for c, r in n] for _, n in found]
-            yield {"doc_id": b["doc_id"], "score": [s for s, _ in found], "evidence": near}
-
-    scored = mapped(vectors.repartition(max(1, total // SCORED)), score, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+            keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in b["body"]]
+            # A text that occurs again is searched once.
+            if len(seen) > 20_000:
+                seen.clear()
+            new = {k: t for k, t in zip(keys, b["body"], strict=True) if k not in seen}
+            order = list(new)
+            for at, bounds, features, times in names.value.parts(list(new.values())):
+                for k, near in zip(order[at:], index.nearest_of(bounds, features, times, NEIGHBOURS), strict=False):
+                    evidence = [{"doc_id": int(index.ids[r]), "cosine": c, "label": int(index.labels[r])} for c, r in near]
+                    seen[k] = calibrated(index.vote(near, prior), curve), evidence
+            yield {"doc_id": b["doc_id"], "score": [seen[k][0] for k in keys], "evidence": [seen[k][1] for k in keys]}
+
+    scored = mapped(texts, score, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 

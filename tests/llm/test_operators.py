@@ -209,6 +209,42 @@ def test_toxicity_scores(spark, docs, empty):
     assert {r.predicted for r in toxicity.score_toxicity(df, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_uses_every_word_and_example(spark):
+    """Words that hardly tell the labels apart, and words of one example, make vectors too: each text's nearest example is its own copy."""
+    rnd = random.Random(11)
+    rows = [(k, " ".join([f"solo{k}x", *(f"w{rnd.randrange(60)}" for _ in range(20))])) for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows + [(1000 + k, t) for k, t in rows], "doc_id long, text string")
+    evidence = {r.doc_id: r.evidence for r in toxicity.score_toxicity(df, labels).collect()}
+    trained = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5]
+    vectors = {k: {f for w in set(t.split()) for f in toxicity.features_of(w)} for k, t in rows}
+    every = sorted(set().union(*(vectors[k] for k in trained)))
+    n1 = sum(k % 4 == 0 for k in trained) + 1
+    n0 = len(trained) + 2 - n1
+    idf = {}
+    for f in every:
+        a, b = (sum(f in vectors[k] for k in trained if (k % 4 == 0) == y) for y in (True, False))
+        pooled = (a + b + 1) / (n1 + n0)
+        relevance = 1 + abs((a + 0.5) / n1 - (b + 0.5) / n0) / (max(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0)) ** 0.5
+        idf[f] = (np.log((1 + 120) / (1 + 2 * sum(f in v for v in vectors.values()))) + 1) * relevance
+
+    def weights(k):
+        counts = {}
+        for w in dict(rows)[k].split():
+            for f in toxicity.features_of(w):
+                counts[f] = counts.get(f, 0) + 1
+        v = np.array([(1 + np.log(counts[f])) * idf[f] if f in counts else 0.0 for f in every])
+        return v / np.sqrt((v**2).sum())
+
+    dense = {k: weights(k) for k, _ in rows}
+    for k, _ in rows:
+        expected = sorted(((-round(float(dense[k] @ dense[e]), 6), e) for e in trained))[:16]
+        for d in (k, 1000 + k):
+            assert [round(x.cosine, 6) for x in evidence[d]] == pytest.approx([-c for c, _ in expected], abs=2e-6)
+        if k in trained:
+            assert evidence[1000 + k][0].doc_id == k and evidence[1000 + k][0].cosine == pytest.approx(1)
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     scored = toxicity.score_toxicity(queries.table(spark, folder, "documents"), queries.table(spark, folder, "labels"))
