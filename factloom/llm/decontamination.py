@@ -8,7 +8,8 @@ of positions of that embedding are LSH keys; windows that share a key with an
 item are candidates, and an exact edit distance over the words decides.
 
 Windows that hold too few of the items' word pairs to be within the distance
-(each edit destroys at most two) are not embedded; this loses nothing.
+(each edit destroys at most two) are not embedded; this loses nothing.  Windows
+start at every word of a text, also where fewer words than the item has are left.
 
 Scale: documents are read once and never shuffled.  The items are the stated
 query set; they go to the tasks in blocks of bounded size, each block by a pass
@@ -79,8 +80,8 @@ class Items:
         a, b = words[:-1].astype(np.uint64), words[1:].astype(np.uint64)
         return (mixed(a * np.uint64(0x9E3779B97F4A7C15) + b) & np.uint64(self.TABLE - 1)).astype(np.int64)
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        """LSH keys of the windows of ``size`` words at ``starts``: one row for each walk and sample."""
+    def keys(self, words: np.ndarray, starts: np.ndarray, size: int, begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """LSH keys of the windows of ``size`` words at ``starts``, blank before ``begins`` and cut off at ``ends``: one row for each walk and sample."""
         steps = 2 * size
         rng = np.random.default_rng([self.seed, size])
         keys = np.zeros((self.walks * self.samples, len(starts)), np.uint64)
@@ -88,9 +89,10 @@ class Items:
         for walk in range(self.walks):
             chosen = np.sort(np.stack([rng.choice(steps, min(self.bits, steps), replace=False) for _ in range(self.samples)]), axis=1)
             salt = rng.integers(1, 2**63, steps, dtype=np.uint64)
-            at, stop = starts.copy(), starts + size
+            at, stop = starts.copy(), starts + size if ends is None else np.minimum(starts + size, ends)
             for j in range(int(chosen.max()) + 1):
-                word = np.where(at < stop, padded[np.minimum(at, len(words))], -1).astype(np.uint64)
+                word = np.where(at < stop, padded[np.clip(at, 0, len(words))], -1)
+                word = (word if begins is None else np.where(at < begins, 0, word)).astype(np.uint64)
                 drawn = mixed(word + salt[j])
                 for s in range(self.samples):
                     if j in chosen[s]:
@@ -99,35 +101,44 @@ class Items:
                 at += (drawn >> np.uint64(63)).astype(np.int64)
         return keys
 
-    def candidates(self, words: np.ndarray, document: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, start) of windows that share a key with the item; ``document`` tells the words' texts apart."""
+    def candidates(self, words: np.ndarray, document: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, start) of windows that share a key with the item.
+
+        Windows start at every word; at a text's end they are shorter than the
+        item, as those of a passage that lost words are.  Some start before the
+        text's first word, as they do before a passage inside a text.
+        """
+        texts, before = np.flatnonzero(np.diff(bounds)), max(map(self.edits, range(len(self.words))), default=0)
+        at = np.concatenate((np.arange(len(words)), (bounds[texts, None] - np.arange(1, before + 1)).ravel()))
+        text = np.concatenate((document, np.repeat(texts, before)))
+        begin, end = bounds[text], bounds[text + 1]
+        first = np.maximum(at, begin)
         hits = np.zeros(len(words) + 1, np.int64)
         if len(words) > 1:
             near = self.pairs[self.pair_slots(words)] & (words[:-1] > 0) & (words[1:] > 0)
             hits[2:] = np.cumsum(near)
         for size, tables in self.tables.items():
-            if len(words) < size:
-                continue
             most = int(self.edit_rate * max(len(self.words[k]) for k in self.classes[size]))
-            n = len(words) - size + 1
+            stop = np.maximum(np.minimum(at + size, end), begin)
+            # A word that is missing at a text's end is one of the edits, so the bounds hold for short windows too.
             if size - 1 - 3 * most > 0:
-                enough = hits[size:] - hits[1 : n + 1] >= size - 1 - 3 * most
+                enough = hits[stop] - hits[first + 1] >= size - 1 - 3 * most
             else:  # too short for pairs to tell, but some of the words must occur
                 known = np.append(0, np.cumsum(words > 0))
-                enough = known[size:] - known[:n] >= max(1, size - most)
-            starts = np.flatnonzero(enough & (document[:n] == document[size - 1 :]))
-            for begin in range(0, len(starts), 1 << 16):
-                part = starts[begin : begin + (1 << 16)]
-                for row, (sorted_keys, members) in zip(self.keys(words, part, size), tables, strict=True):
+                enough = known[stop] - known[first] >= max(1, size - most)
+            chosen = np.flatnonzero(enough & (stop - first >= size - most))
+            for c in range(0, len(chosen), 1 << 16):
+                part = chosen[c : c + (1 << 16)]
+                for row, (sorted_keys, members) in zip(self.keys(words, at[part], size, begin[part], end[part]), tables, strict=True):
                     low, high = np.searchsorted(sorted_keys, row, "left"), np.searchsorted(sorted_keys, row, "right")
                     for w in np.flatnonzero(high > low):
                         for k in members[low[w] : high[w]].tolist():
-                            yield k, int(part[w])
+                            yield k, int(first[part[w]])
 
     def matches(self, words: np.ndarray, document: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(document, item) -> (edits, near which word), the least edits and then the first place."""
         seen: dict[tuple[int, int], set[int]] = {}
-        for k, start in self.candidates(words, document):
+        for k, start in self.candidates(words, document, bounds):
             # Starts are rounded to steps of the allowed edits: one region serves all windows in a step.
             seen.setdefault((int(document[start]), k), set()).add(start // (self.edits(k) + 1))
         found: dict[tuple[int, int], tuple[int, int]] = {}

@@ -135,6 +135,31 @@ def test_recall_over_edited_items(rate, least):
     assert np.mean([(k, k) in found for k in range(len(lists))]) >= least
 
 
+@pytest.mark.parametrize("before", [0, 40])
+@pytest.mark.parametrize(("rate", "least"), [(0.0, 1.0), (0.1, 0.97), (0.2, 0.9)])
+def test_recall_over_items_that_end_a_text_and_lost_words(rate, least, before):
+    """Items that are the whole text or end it, with one deletion at least."""
+    rnd = random.Random(9)
+    items = [(k, " ".join(f"w{int(rnd.paretovariate(0.6)) % 3000}" for _ in range(rnd.choice((15, 20, 26, 35, 48, 55))))) for k in range(200)]
+    index = decontamination.Items(items)
+    lists = []
+    for words in index.words:
+        x = words.tolist()
+        for _ in range(max(1, int(rate * len(words))) if rate else 0):
+            del x[rnd.randrange(len(x))]
+        lists.append([rnd.randrange(3000) for _ in range(before)] + x)
+    bounds = np.cumsum([0, *map(len, lists)])
+    found = index.matches(np.array(sum(lists, [])), np.repeat(np.arange(len(lists)), np.diff(bounds)), bounds)
+    assert np.mean([(k, k) in found for k in range(len(lists))]) >= least
+
+
+def test_contamination_of_a_short_whole_text(spark):
+    item = " ".join(f"i{k}" for k in range(48))
+    df = spark.createDataFrame([(k, " ".join(w for j, w in enumerate(item.split()) if j != k)) for k in range(48)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert got(decontamination.find_contamination(df, bench), "doc_id", "item_id", "edits") == sorted([(k, 1, 1) for k in range(48)], key=repr)
+
+
 # 2
 
 
