@@ -410,6 +410,12 @@ def ngram_tokens(spark, d):
     return grams.select(F.explode(text.ngrams(F.col("w"), 3)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+@asks("SELECT substr(w, i, 3) AS term, count(*) AS n FROM (SELECT w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS i FROM (SELECT unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM benchmark)) GROUP BY 1")
+def ngram_tokens_whole(spark, d):
+    """The grams of whole texts, words of all lengths."""
+    return table(spark, d, "benchmark").select(F.explode(text.ngrams(F.col("text"), 3)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @asks("WITH w AS (SELECT item_id, list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\f\\r]+'), lambda w: translate(regexp_replace(w, '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]')) AS w FROM benchmark) SELECT item_id, greatest(len(w) - 1, 0)::INT AS bigrams FROM w")
 def phrase_bigrams(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(text.bigrams(F.col("text"))).alias("bigrams"))

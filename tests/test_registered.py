@@ -1,7 +1,11 @@
+import re
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
 from factloom.plans import features, suite
+from factloom.plans.graph import table
 from oracle import check
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,3 +25,11 @@ def test_suite_is_complete():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 150
+
+
+def test_ngrams_of_whole_texts(spark):
+    expected = Counter()
+    for r in table(spark, SMALL, "benchmark").collect():
+        for w in re.findall(r"[^\W_]+", (r.text or "").lower()):
+            expected.update(w[i : i + 3] for i in range(max(len(w) - 2, 1)))
+    assert {r.term: r.n for r in QUERIES["ngram_tokens_whole"](spark, SMALL).collect()} == expected
