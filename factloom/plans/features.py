@@ -443,11 +443,12 @@ def incremental_full_delta(spark, d):
 # History
 
 
-def _history(spark, d):
-    """Commits by month of order; a side branch and a merge."""
+def _history(spark, d, whole=False):
+    """Commits by month of order; a side branch and a merge.  Of the whole table, every fourth month goes together."""
     r = Repository(spark, scratch_path(spark, "history"))
-    orders = table(spark, d, "orders").where("o_orderdate < '1995-05-01'")
-    facts = orders.select(F.month("o_orderdate").alias("m"), reference("order", "o_orderkey").alias("e"), F.lit("o_status").alias("a"), F.col("o_orderstatus").alias("v"))
+    orders = table(spark, d, "orders")
+    month = (F.month("o_orderdate") - 1) % 4 + 1 if whole else F.month("o_orderdate")
+    facts = (orders if whole else orders.where("o_orderdate < '1995-05-01'")).select(month.alias("m"), reference("order", "o_orderkey").alias("e"), F.lit("o_status").alias("a"), F.col("o_orderstatus").alias("v"))
     r.create_branch("main")
     w = r.pull("main")
     ids = [w.commit(facts.where(F.col("m") == m).drop("m"), f"month {m}", created_at=dt.datetime(1995, m, 1)) for m in (1, 2, 3)]
@@ -499,6 +500,47 @@ def history_of_entity(spark, d):
     return r.history_of(f"order:{key}").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _groups(sql: str) -> str:
+    return f"SELECT 'order:' || o_orderkey AS e, 'o_status' AS a, o_orderstatus AS v FROM orders WHERE (month(o_orderdate) - 1) % 4 + 1 IN ({sql})"
+
+
+@asks(_groups("1, 2, 3, 4"))
+def history_whole_checkout_ancestors(spark, d):
+    r, _, _ = _history(spark, d, whole=True)
+    return r.checkout(r.ancestors(r.select(r.head("main"))))
+
+
+@asks(_groups("2, 3, 4"))
+def history_whole_range(spark, d):
+    r, ids, _ = _history(spark, d, whole=True)
+    return r.checkout(r.range(r.select(ids[0]), r.select(r.head("main"))))
+
+
+@asks(_groups("2, 3, 4"))
+def history_whole_symmetric_difference(spark, d):
+    r, ids, side = _history(spark, d, whole=True)
+    return r.checkout(r.symmetric_difference(r.select(ids[2]), r.select(side)))
+
+
+@asks(_groups("1"))
+def history_whole_nth_ancestors(spark, d):
+    r, ids, _ = _history(spark, d, whole=True)
+    return r.checkout(r.nth_ancestors(r.select(ids[2]), 2))
+
+
+@asks(_groups("2, 3"))
+def history_whole_time_range(spark, d):
+    r, _, _ = _history(spark, d, whole=True)
+    return r.checkout(r.time_range(dt.datetime(1995, 2, 1), dt.datetime(1995, 3, 15)))
+
+
+@asks("SELECT count(DISTINCT (month(o_orderdate) - 1) % 4) AS n FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def history_whole_of_entity(spark, d):
+    r, _, _ = _history(spark, d, whole=True)
+    key = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return r.history_of(f"order:{key}").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Values
 
 
