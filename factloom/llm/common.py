@@ -16,7 +16,7 @@ from factloom.sources.scratch import scratch_path, shared_dir, stored
 #: A word of the query contracts: a run of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "WordHashes", "batch_word_hashes", "discard", "distinct", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "scratch_path", "shared_dir", "stored", "text_or_empty"]
+__all__ = ["WORD", "WordHashes", "batch_word_hashes", "discard", "distinct", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "rows_where", "scratch_path", "shared_dir", "stored", "text_or_empty"]
 
 
 def discard(df: DataFrame) -> None:
@@ -33,13 +33,27 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows and bytes of what Python works on at a time; a row of more bytes comes alone.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+
+
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to parts of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` bytes."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, SLICE_ROWS)
+            while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                part = part.slice(0, max(1, min(part.num_rows // 2, part.num_rows * SLICE_BYTES // part.nbytes)))
+            yield part
+            at += part.num_rows
+
+
 def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str, raw: tuple[str, ...] = ()) -> DataFrame:
     """``df`` through ``rows``, which turns dicts of column lists into dicts of column lists.
 
     Columns named in ``raw`` come as Arrow arrays; any may be returned as one.
-
-    Arrow batches are cut to at most 512 rows, so that a batch of long texts
-    stays small on the Python side too.
+    Lists are cut by rows and bytes, so that long texts stay few at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -48,10 +62,8 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slices() -> Iterator[dict[str, list]]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    yield {n: part.column(i) if n in raw else part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+            for part in sliced(batches):
+                yield {n: part.column(i) if n in raw else part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
 
         for out in rows(slices()):
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
@@ -59,6 +71,26 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[d
     return df.mapInArrow(run, schema)
 
 
+def rows_where(docs: DataFrame, kept: Callable[[Iterator[list[str]]], Iterable[list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose text ``kept`` says yes to, all columns as they are: no join, no shuffle, no key.
+
+    ``kept`` turns lists of texts (null: empty) into lists of answers, one by one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def bodies() -> Iterator[list[str]]:
+            for part in sliced(batches):
+                parts.append(part)
+                yield [str(t) if t is not None else "" for t in part.column(part.schema.names.index("text")).to_pylist()]
+
+        for answers in kept(bodies()):
+            yield parts.pop().filter(pa.array(answers, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (as bytes), remembered up to a bounded number of words."""
 

@@ -242,7 +242,7 @@ def test_toxicity_uses_every_word_and_example(spark):
     df = spark.createDataFrame(rows + [(1000 + k, t) for k, t in rows], "doc_id long, text string")
     evidence = {r.doc_id: r.evidence for r in toxicity.score_toxicity(df, labels).collect()}
     trained = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5]
-    vectors = {k: {f for w in set(t.split()) for f in toxicity.features_of(w)} for k, t in rows}
+    vectors = {k: set(t.split()) for k, t in rows}
     every = sorted(set().union(*(vectors[k] for k in trained)))
     n1 = sum(k % 4 == 0 for k in trained) + 1
     n0 = len(trained) + 2 - n1
@@ -256,8 +256,7 @@ def test_toxicity_uses_every_word_and_example(spark):
     def weights(k):
         counts = {}
         for w in dict(rows)[k].split():
-            for f in toxicity.features_of(w):
-                counts[f] = counts.get(f, 0) + 1
+            counts[w] = counts.get(w, 0) + 1
         v = np.array([(1 + np.log(counts[f])) * idf[f] if f in counts else 0.0 for f in every])
         return v / np.sqrt((v**2).sum())
 
@@ -275,7 +274,7 @@ def test_toxicity_on_held_out_rows(spark):
     scored = toxicity.score_toxicity(queries.table(spark, folder, "documents"), queries.table(spark, folder, "labels"))
     held = scored.where("held_out").join(queries.table(spark, folder, "labels"), "doc_id")
     r = held.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("accuracy"), F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("wrong")).first()
-    assert r.accuracy > 0.96 and r.recall > 0.8 and r.wrong < 0.02
+    assert r.accuracy > 0.96 and r.recall > 0.9 and r.wrong < 0.02
 
 
 # 4
