@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,13 +19,11 @@ __all__ = ["WORD", "WordHashes", "batch_word_hashes", "discard", "distinct", "fi
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a stored table that nothing depends on any more, and lets Spark drop the shuffle files of finished steps."""
+    """Deletes a stored table that nothing depends on any more."""
     jvm = df.sparkSession._jvm
     for parent in {name.rpartition("/")[0] for name in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -106,33 +103,31 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: Random values of the bytes and the base of the words' polynomial hashes; blanks of the query contracts; bytes hashed at a time.
-_BYTE_VALUES = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
+#: Blanks of the query contracts; words of more bytes than ``_LONG`` are hashed one by one; masks of the bytes of a chunk.
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_STEP = 1 << 20
+_LONG = 64
+_MASKS = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
 
 
 def batch_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts``, and where each text's words begin among them (and the last one's end).
 
-    A word's hash is the polynomial of its bytes' random values, got from running
-    sums over at least ``_STEP`` bytes, so no word is touched on its own.
+    All words of a batch are hashed at once, eight bytes at a time, each step
+    scrambling what the steps before gave; the length goes in first.
     """
-    raw = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
-    blank = np.concatenate(([True], _BLANK[raw]))
+    raw = np.frombuffer(b" ".join([*texts, b""]) + bytes(8), np.uint8)
+    blank = np.concatenate(([True], _BLANK[raw[:-8]], [True]))
     edges = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
     bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    out, at = np.empty(len(starts), np.uint64), 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _STEP, "right")))
-        begin, length = starts[at], int(ends[to - 1] - starts[at])
-        power = np.cumprod(np.full(length, _BASE, np.uint64))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[raw[begin : begin + length]] * power)))
-        shift = np.cumprod(np.full(length, pow(_BASE, -1, 2**64), np.uint64))[starts[at:to] - begin]
-        out[at:to] = mixed((sums[ends[at:to] - begin] - sums[starts[at:to] - begin]) * shift)
-        at = to
+    chunks = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = mixed(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for at in range(0, min(_LONG, int(lengths.max(initial=0))), 8):
+        some = np.flatnonzero(lengths > at) if at else slice(None)
+        chunk = chunks[starts[some] + at] & _MASKS[np.minimum(lengths[some] - at, 8)]
+        out[some] = mixed((out[some] ^ chunk) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(at + 1))
+    for k in np.flatnonzero(lengths > _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + lengths[k]].tobytes())
     return out, bounds
 
 

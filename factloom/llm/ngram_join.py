@@ -1,19 +1,21 @@
 """Similarity join on word n-grams by a token-group matrix.
 
-Documents with equal shingle sets are one; similar ones are gathered into groups
-by verified links to the leader of a shared min-hash key.  The matrix holds, for
-each group, the union of its members' tokens as far as the prefix filter needs
-them: a set that is linked to a group's member shares a token of its prefix (the
-quarter of its tokens that comes first in a global order, frequent ones last)
-with the union.  That and the tokens' places bound the overlap of a query and a
-group; only groups that the bound lets through are opened, and their members are
-compared exactly.
-
-Scale: no pairs within a group are made, since its members are linked already.
-A hot group takes one row a token in the matrix; it is opened in blocks, each a
-task of bounded size with a bounded number of queries.  Every step is a
-shuffle on a key or a pass; the filters and the list of frequent tokens that
-tasks get have fixed sizes.
+Documents with equal shingle sets are one.  The others are partitioned into
+groups: those with a verified link to the leader of a shared min-hash key form a
+cluster, those that only share a key with several others form a family, and what
+resembles nothing is a group by itself.  The matrix holds, for each group, the
+union of its members' tokens as far as the prefix filter needs them: a set that
+is linked to a group's member shares a token of its prefix (the quarter of its
+tokens that comes first in a global order, frequent ones last) with the union.
+That and the tokens' places bound the overlap of a query and a group; only groups
+that the bound lets through are opened, and their members are compared exactly,
+those of a family with each other too.
+
+Scale: a cluster or family of any size takes one row a token in the matrix, so a
+hot one doesn't meet itself there; it is opened in blocks, each a task of bounded
+documents and bytes with a bounded number of queries, which gives a forest of its
+links and not all of them.  Every step is a shuffle on a key or a pass; the
+filters and the list of frequent tokens that tasks get have fixed sizes.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_word_hashes, discard, distinct, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty
@@ -39,10 +41,12 @@ KEYS, KEY_HASHES = 4, 2
 AGREEING = 5
 #: Frequent tokens that the order puts last (the list's bound), and how often one is seen in a batch to count.
 FREQUENT, SEEN = 200_000, 3
-#: Documents of a block of a group, and queries that one task compares with it.
-BLOCK, QUERIES = 256, 512
+#: Documents that share a min-hash key, at least, to be a family.
+FAMILY = 8
+#: Documents of a block of a group, queries that one task compares with it, and about the tokens of either.
+BLOCK, QUERIES, BLOCK_TOKENS = 256, 512, 1 << 19
 #: Bytes of texts hashed at a time; tokens packed at a time, and about as many in a bucket.
-PART_BYTES, PORTION = 4 << 20, 1 << 20
+PART_BYTES, PORTION = 1 << 20, 1 << 18
 
 
 def shingle_sets(texts: list[str], n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -327,36 +331,60 @@ def candidate_units(groups: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("ahead") & (F.col("u_large") | F.col("v_large") | enough)).select(F.col("u_unit").alias("u"), F.col("v_unit").alias("v"), "u_large", "v_large")
 
 
+def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the pairs that connect what the pairs before them do not."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
 def opened(queries: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a link of each query (doc_id, block) to a member of a block (doc_id, block, slice), if it has one.
+    """(a, b): links of queries (doc_id, block, slice) and members of a block (doc_id, block, slice) that connect all that are linked.
 
     Each block, with a slice of its queries, is one group: its token union bounds
     the overlap, and only queries within the bound are compared with members.
     """
 
+    def links(q: pd.DataFrame, members: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        held, ids = [np.frombuffer(t, np.uint64) for t in members["member_tokens"]], members["member_doc_id"].tolist()
+        owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        tokens = np.concatenate(held)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        size = np.array([len(h) for h in held])
+        union = distinct(tokens)
+        for d, t in zip(q["query_doc_id"].tolist(), q["query_tokens"], strict=True):
+            x = np.frombuffer(t, np.uint64)
+            at = np.minimum(np.searchsorted(union, x), len(union) - 1)
+            x = x[union[at] == x]
+            whole = len(t) // 8
+            if len(x) < needed(whole, percent):
+                continue
+            low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+            common = np.zeros(len(held), np.int64)
+            # Some of the query's tokens at a time: each may be in every member.
+            step = max(1, BLOCK_TOKENS // len(held))
+            for k in range(0, len(x), step):
+                l, n = low[k : k + step], (high - low)[k : k + step]
+                common += np.bincount(owner[np.repeat(l - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(held))
+            for k in np.flatnonzero((common > 0) & (100 * common >= percent * (whole + size - common))).tolist():
+                if ids[k] != d:
+                    yield d, ids[k]
+
     def compare(q: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(q) and len(members):
-            held = [np.frombuffer(t, np.uint64) for t in members["member_tokens"]]
-            owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-            tokens = np.concatenate(held)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            size = np.array([len(h) for h in held])
-            union = distinct(tokens)
-            for d, t in zip(q["query_doc_id"], q["query_tokens"], strict=True):
-                x = np.frombuffer(t, np.uint64)
-                at = np.minimum(np.searchsorted(union, x), len(union) - 1)
-                x = x[union[at] == x]
-                whole = len(t) // 8
-                if len(x) < needed(whole, percent):
-                    continue
-                low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
-                n = high - low
-                common = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(held))
-                good = np.flatnonzero((common > 0) & (100 * common >= percent * (whole + size - common)))
-                if len(good):
-                    found.append((int(d), int(members["member_doc_id"].iloc[good[0]])))
+        found = forest(links(q, members)) if len(q) and len(members) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def with_sets(df: DataFrame, side: str) -> DataFrame:
@@ -367,8 +395,13 @@ def opened(queries: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int)
     return left.cogroup(right).applyInPandas(compare, "a long, b long")
 
 
+def parts_of(documents, tokens, most: int) -> Column:
+    """In how many parts documents go so that about ``most`` of them and ``BLOCK_TOKENS`` tokens are in each."""
+    return F.greatest(F.ceil(documents / most), F.ceil(tokens / BLOCK_TOKENS))
+
+
 def links_between(texts: DataFrame, groups: DataFrame, units: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links between documents of different units, at least one for every two units that have any."""
+    """(a, b): links between documents of different units and inside families, enough to connect all that are linked."""
     candidates = stored(candidate_units(groups, percent), "candidates")
     single = candidates.where(~F.col("u_large") & ~F.col("v_large")).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
@@ -378,15 +411,21 @@ def links_between(texts: DataFrame, groups: DataFrame, units: DataFrame, sizes:
 
     grouped = candidates.where(F.col("u_large") | F.col("v_large")).join(sized("u"), "u", "left").join(sized("v"), "v", "left").fillna(1, ["u_members", "v_members"])
     swap = F.col("u_members") > F.col("v_members")
-    grouped = stored(grouped.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("query_unit"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("unit")), "grouped")
-
-    blocked = units.join(sizes, "unit").withColumn("block_no", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK)))
-    blocks = stored(blocked.join(grouped.select("unit").distinct(), "unit", "left_semi").select("doc_id", "unit", F.xxhash64("unit", "block_no").alias("block")), "blocks")
-    queries = units.withColumnRenamed("unit", "query_unit").join(grouped, "query_unit").select("doc_id", "unit")
-    asked = stored(queries.join(blocks.select("unit", "block").distinct(), "unit").select("doc_id", "block"), "asked")
-    slices = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("slices"))
-    sliced = asked.join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), "slices"))
-    spread = blocks.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    grouped = grouped.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("query_unit"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("unit"))
+    grouped = stored(grouped.unionByName(sizes.where("family").select(F.col("unit").alias("query_unit"), "unit")), "grouped")
+
+    blocked = units.join(sizes, "unit").withColumn("block_no", F.pmod(F.xxhash64("doc_id"), parts_of(F.col("members"), F.col("tokens"), BLOCK)))
+    blocked = blocked.join(grouped.select("unit").distinct(), "unit", "left_semi")
+    blocks = stored(blocked.select("doc_id", "unit", "block_no", F.xxhash64("unit", "block_no").alias("block")), "blocks")
+    queries = units.select("doc_id", F.col("unit").alias("query_unit"), "size").join(grouped, "query_unit")
+    # Inside a family each two blocks meet once.
+    own = blocks.select("doc_id", F.col("unit").alias("query_unit"), F.col("block_no").alias("own_no"))
+    queries = queries.join(own, ["doc_id", "query_unit"], "left").select("doc_id", "unit", "size", F.when(F.col("unit") == F.col("query_unit"), F.col("own_no")).otherwise(0).alias("least_no"))
+    asked = queries.join(blocks.select("unit", "block", "block_no").distinct(), "unit").where("block_no >= least_no")
+    asked = stored(asked.select("doc_id", "block", "size"), "asked")
+    slices = asked.groupBy("block").agg(parts_of(F.count(F.lit(1)), F.sum("size"), QUERIES).alias("slices"))
+    sliced = asked.drop("size").join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), "slices"))
+    spread = blocks.select("doc_id", "block").join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
 
     sets = sets_of(texts, blocks.select("doc_id").unionByName(asked.select("doc_id")), n, ends_of(single))
     links = stored(opened(sliced, spread, sets.where("tokens is not null").select("doc_id", "tokens"), percent), "group-links")
@@ -396,6 +435,15 @@ def links_between(texts: DataFrame, groups: DataFrame, units: DataFrame, sizes:
     return links.unionByName(stored(verified(close, sets, percent), "single-links"))
 
 
+def families(alone: DataFrame) -> DataFrame:
+    """doc_id, unit: of documents (doc_id, keys) those that share a key with several others, each under its most common key."""
+    keyed = alone.select("doc_id", F.explode("keys").alias("key"))
+    held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= FAMILY)
+    chosen = stored(keyed.join(held, "key").groupBy("doc_id").agg(F.max(F.struct("held", "key"))["key"].alias("key")), "families")
+    names = chosen.groupBy("key").agg(F.min("doc_id").alias("unit"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    return chosen.join(names, "key").select("doc_id", "unit")
+
+
 def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Components of documents whose sets of distinct ``n``-word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -413,18 +461,26 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     whole = stored(described(texts, n, percent), "described")
     every = stored(whole.drop("prefix"), "documents")
     full = every.where("size > 0")
-    equal = full.groupBy("signature").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    # Stored, so that the join below reads both sides plainly and a hot signature can be split.
+    equal = stored(full.groupBy("signature").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held"), "equal-sets")
     copies = stored(full.select("doc_id", "signature").join(equal, "signature").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "copies")
     # Copies need not be asked again; their set is asked under the least of them.
-    asked = full.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "keys", "least")
+    asked = full.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "size", "keys", "least")
 
     pairs = stored(leader_pairs(asked), "leader-pairs")
     sets = sets_of(texts, ends_of(pairs), n)
     near = stored(verified(pairs, sets, percent), "leader-links")
     discard(sets)
     labels = connected(copies.unionByName(near))
-    units = stored(asked.select("doc_id").distinct().join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("unit")), "units")
-    sizes = stored(units.groupBy("unit").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "unit-sizes")
+    # Documents by themselves (copies don't count) may still belong to a family.
+    own = asked.groupBy("doc_id").agg(F.max("size").alias("size"), F.max("keys").alias("keys"))
+    clusters = own.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "keys", F.coalesce("component", "doc_id").alias("unit"))
+    clusters = stored(clusters, "clusters")
+    several = clusters.groupBy("unit").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("unit")
+    kin = stored(families(clusters.join(several, "unit", "left_anti")).withColumnRenamed("unit", "family"), "kin")
+    units = stored(clusters.join(kin, "doc_id", "left").select("doc_id", "size", F.coalesce("family", "unit").alias("unit"), F.col("family").isNotNull().alias("family")), "units")
+    sizes = units.groupBy("unit").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("tokens"), F.max("family").alias("family"))
+    sizes = stored(sizes.where("members > 1"), "unit-sizes")
     marked = units.join(sizes.select("unit", F.lit(True).alias("large")), "unit", "left").select("doc_id", "unit", F.coalesce("large", F.lit(False)).alias("large"))
     groups = matrix(whole.where("size > 0"), stored(marked, "marked-units"), copies)
     discard(whole)
@@ -443,7 +499,56 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     return out.unionByName(mapped(nameless, count, "doc_id long, n_shingles long, component_id long"))
 
 
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with a doc_id of their own, and the others (if any), stored with ids that no other row has as ``row_id``."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    times = ids.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    most, odd = times.agg(F.max("id"), F.count(F.when(F.col("id").isNull() | (F.col("times") > 1), 1))).first()
+    if not odd:
+        return docs, None
+    repeated = stored(times.where("times > 1 and id is not null").select("id"), "repeated-ids")
+    key = docs["doc_id"].cast("long")
+    others = docs.where("doc_id is null").unionByName(docs.join(repeated, key == F.col("id"), "left_semi"))
+    # Above the largest doc_id, or where that leaves no room below zero, the least one.
+    most = most if most is not None else 0
+    if most < 2**62:
+        row_id = F.monotonically_increasing_id() + F.lit(max(0, most + 1))
+    else:
+        row_id = F.lit(min(0, ids.agg(F.min("id")).first()[0]) - 1) - F.monotonically_increasing_id()
+    return docs.where("doc_id is not null").join(repeated, key == F.col("id"), "left_anti"), stored(others.withColumn("row_id", row_id), "odd-rows")
+
+
 def without_similar(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least doc_id; rows without a doc_id stay."""
-    dropped = similar_groups(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_doc_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_doc_id"], "left_anti")
+    """``docs`` with one row of each component, all columns as they are.
+
+    Each row is a document here, also one whose doc_id is null or repeats.  Of a
+    component the row with the least doc_id stays (null comes last, any one of
+    rows with the same doc_id).  Null and empty texts are linked with nothing, so
+    they stay; an empty table gives an empty table; a column of the name
+    ``row_id`` is not allowed.
+    """
+    rows, odd = with_row_ids(docs)
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if odd is None:
+        dropped = similar_groups(texts, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id"))
+        return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    found = stored(similar_groups(texts.unionByName(odd.select(F.col("row_id").alias("doc_id"), "text")), **options), "row-groups")
+    names = odd.select("row_id", F.col("doc_id").alias("name"), F.lit(True).alias("odd"))
+    named = found.join(names, found["doc_id"] == names["row_id"], "left").withColumn("name", F.when(F.col("odd"), F.col("name")).otherwise(F.col("doc_id")))
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("name").isNull(), F.col("name"), F.col("doc_id")))["doc_id"].alias("kept_id"))
+    dropped = stored(found.join(kept, "component_id").where("doc_id <> kept_id").select(F.col("doc_id").alias("dropped_id")), "dropped-rows")
+    rows = rows.join(dropped, rows["doc_id"] == dropped["dropped_id"], "left_anti")
+    return rows.unionByName(odd.join(dropped, odd["row_id"] == dropped["dropped_id"], "left_anti").drop("row_id"))
+
+
+#: Links by the definition; components by the least doc_id of what is reachable.
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END) AS s FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT a AS doc_id, a AS least FROM links UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.doc_id WHERE r.least < l.b)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(min(least), t.doc_id), t.doc_id)::BIGINT AS component_id
+FROM texts t LEFT JOIN sizes USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY t.doc_id, n
+"""

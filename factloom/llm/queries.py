@@ -62,4 +62,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_toxicity, op4_exact_dedup, op5_token_counts, op6_personal_data, op7_token_files, op8_mix_sources, op9_substring_dedup, op10_warc)}
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, exact_dedup, mixing, ngram_join, pii, queries, substring_dedup, token_counts, token_files, toxicity, warc
-from factloom.llm.common import fixed_filter, gram_hashes, passes
+from factloom.llm.common import batch_word_hashes, fixed_filter, gram_hashes, passes
 from factloom.llm.components import connected
 from oracle import check
 
@@ -200,6 +200,59 @@ def test_ngram_join_of_a_hot_family(spark, monkeypatch):
     assert kept.count() == len({c for _, _, c in brute_components(rows)})
 
 
+def test_word_hashes_tell_crafted_words_apart(spark):
+    """Thue-Morse words collide under any polynomial modulo a power of two."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    long = ["x" * n for n in range(1, 140)] + ["y" * 8 + "x" * n for n in range(1, 140)]
+    hashes, bounds = batch_word_hashes([" ".join([word, other, *long]).encode(), b"", (word + " \n").encode()])
+    assert len(set(hashes[:-1].tolist())) == 2 + len(long) and hashes[-1] == hashes[0] and bounds.tolist() == [0, 280, 280, 281]
+    rows = [(1, f"{word} " * 40), (2, f"{other} " * 40)]
+    assert got(ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id") == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("kind", ["shared middle", "subsets"])
+def test_ngram_join_of_families_under_the_threshold(spark, monkeypatch, kind):
+    """Rows that meet in the token join grow in proportion to such a family, not with its square."""
+    met = []
+    real = ngram_join.candidate_units
+
+    def counted(groups, percent):
+        met.append(groups.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0)
+        return real(groups, percent)
+
+    monkeypatch.setattr(ngram_join, "candidate_units", counted)
+    sizes = (200, 400, 800)
+    for size in sizes:
+        rnd = random.Random(size)
+        base = [f"c{k}" for k in range(200)]
+        rows = []
+        for d in range(size):
+            if kind == "shared middle":
+                words = [*base[:160], *(f"u{d}x{k}" for k in range(40))]
+            else:  # most of the words, in blocks, so that pairs share most but too few shingles
+                words = [w for k in range(0, 200, 20) if rnd.random() < 0.8 for w in base[k : k + 20]] or base
+            rows.append((d, " ".join(words)))
+        found = got(ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+        if size == 200:
+            assert found == brute_components(rows)
+    print(kind, met)
+    assert met[1] <= 3 * met[0] + 2000 and met[2] <= 3 * met[1] + 2000
+
+
+def test_near_duplicates_go_row_by_row(spark, docs, empty):
+    """Rows with no doc_id, or one that repeats, are judged by their own texts; of a component one row stays."""
+    kept = ngram_join.without_similar(docs)
+    assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    # BASE (four rows, one without a doc_id) and NEAR are alike, and so are the pairs of short and long texts.
+    assert sorted(t or "" for t in texts) == sorted(t or "" for t in ["", None, " \n\t", None, BASE, "one two", long_text(1), long_text(2), ROWS[12][1], "same " * 60, "k " + BASE + " " + long_text(3, 50)])
+    assert [r.doc_id for r in kept.collect() if r.text == BASE] == [1]
+    assert ngram_join.without_similar(empty).count() == 0
+    plain = docs.where("doc_id > 2")
+    assert sorted(r.doc_id for r in ngram_join.without_similar(plain).collect()) == [3, 4, 5, 6, 7, 9, 11, 12, 13, 14]
+
+
 # 3
 
 
