@@ -149,27 +149,21 @@ def most_in_common(x: bytes, y: bytes) -> tuple[int, int, int]:
     return n, m, min((n + m - int(np.bitwise_count(u ^ v).sum())) // 2, n, m)
 
 
-def sets_of(texts: DataFrame, ids: DataFrame, n: int, rough_ids: DataFrame | None = None) -> DataFrame:
-    """doc_id, tokens (bytes of the sorted set, of the documents in ``ids``) and rough (parities, of ``rough_ids``).
+def sets_of(texts: DataFrame, ids: DataFrame, n: int, rough: bool = False) -> DataFrame:
+    """doc_id and tokens (bytes of the sorted set) or rough (its parities) of the documents in ``ids``.
 
-    One pass behind filters of fixed size, which let a few more documents through.
+    One pass behind a filter of fixed size, which lets a few more documents through.
     """
-    none = np.zeros(1 << 13, np.uint8)
-    shipped = texts.sparkSession.sparkContext.broadcast((fixed_filter(ids), none if rough_ids is None else fixed_filter(rough_ids)))
+    shipped = texts.sparkSession.sparkContext.broadcast(fixed_filter(ids))
+    name = "rough" if rough else "tokens"
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        full, rough = shipped.value
         for b in batches:
-            known = np.array(b["doc_id"], np.int64).view(np.uint64)
-            whole, part = passes(full, known), passes(rough, known)
-            at = np.flatnonzero(whole | part).tolist()
-            out = {"doc_id": [b["doc_id"][k] for k in at], "tokens": [], "rough": []}
-            for k, tokens in zip(at, shingle_sets([b["body"][k] for k in at], n), strict=True):
-                out["tokens"].append(tokens.tobytes() if whole[k] else None)
-                out["rough"].append(parities(tokens) if part[k] else None)
-            yield out
+            at = np.flatnonzero(passes(shipped.value, np.array(b["doc_id"], np.int64).view(np.uint64))).tolist()
+            sets = shingle_sets([b["body"][k] for k in at], n)
+            yield {"doc_id": [b["doc_id"][k] for k in at], name: [parities(x) if rough else x.tobytes() for x in sets]}
 
-    return stored(mapped(texts, rows, "doc_id long, tokens binary, rough binary"), "sets")
+    return stored(mapped(texts, rows, f"doc_id long, {name} binary"), "sets")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -179,8 +173,7 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def _paired(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     """The pairs (a, b) whose sets, in ``column``, pass ``test``."""
-    held = sets.where(F.col(column).isNotNull())
-    first, second = held.select(F.col("doc_id").alias("a"), F.col(column).alias("x")), held.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
+    first, second = sets.select(F.col("doc_id").alias("a"), F.col(column).alias("x")), sets.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for p in batches:
@@ -350,8 +343,68 @@ def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Sketches:
+    """Parities of some sets as matrices, one for each number of slots, and shorter ones folded from them."""
+
+    def __init__(self, roughs: list[bytes]):
+        self.size = np.array([int.from_bytes(raw[:8], "little") for raw in roughs], np.int64)
+        self.slots = np.array([len(raw) - 8 for raw in roughs])
+        self.rows = {w: np.flatnonzero(self.slots == w) for w in np.unique(self.slots).tolist()}
+        self.matrices = {(w, w): np.stack([np.frombuffer(roughs[k], np.uint8, offset=8) for k in rows]) for w, rows in self.rows.items()}
+
+    def folded(self, have: int, want: int) -> np.ndarray:
+        if (have, want) not in self.matrices:
+            wide = self.folded(have, 2 * want)
+            self.matrices[have, want] = wide[:, :want] ^ wide[:, want:]
+        return self.matrices[have, want]
+
+    def possible(self, rough: bytes, percent: int) -> np.ndarray:
+        """Which sets the one of ``rough`` may be linked with; none that it is linked with is left out."""
+        n, bits = int.from_bytes(rough[:8], "little"), np.frombuffer(rough, np.uint8, offset=8)
+        out = np.zeros(len(self.size), bool)
+        for have, rows in self.rows.items():
+            x = bits
+            while len(x) > have:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            odd = np.bitwise_count(self.folded(have, len(x)) ^ x).sum(axis=1, dtype=np.int64)
+            m = self.size[rows]
+            common = np.minimum((n + m - odd) // 2, np.minimum(n, m))
+            out[rows] = (100 * common >= percent * (n + m - common)) & (common > 0)
+        return out
+
+
+def _together(queries: DataFrame, members: DataFrame, sets: DataFrame, column: str, compare, schema: str) -> DataFrame:
+    """``compare`` on the queries and members (doc_id, block, slice) of each block and slice, with their sets."""
+
+    def with_sets(df: DataFrame, side: str) -> DataFrame:
+        return df.join(sets, "doc_id").select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "block", "slice", column)])
+
+    left = with_sets(queries, "query").groupBy("query_block", "query_slice")
+    right = with_sets(members, "member").groupBy("member_block", "member_slice")
+    return left.cogroup(right).applyInPandas(compare, schema)
+
+
+def qualifying(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, block, slice, asks: the queries and members of each block that may have links, as far as parities tell."""
+
+    def compare(key: tuple, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(m):
+            sketches, ids = Sketches(m["member_rough"].tolist()), m["member_doc_id"].to_numpy()
+            seen = np.zeros(len(m), bool)
+            for d, rough in zip(q["query_doc_id"].tolist(), q["query_rough"], strict=True):
+                near = sketches.possible(rough, percent) & (ids != d)
+                if near.any():
+                    seen |= near
+                    out.append((d, *key, True))
+            out += [(d, *key, False) for d in ids[seen].tolist()]
+        return pd.DataFrame(out, columns=["doc_id", "block", "slice", "asks"]).astype({"doc_id": "int64", "block": "int64", "slice": "int64", "asks": "bool"})
+
+    return _together(queries, members, sets, "rough", compare, "doc_id long, block long, slice long, asks boolean")
+
+
 def opened(queries: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links of queries (doc_id, block, slice) and members of a block (doc_id, block, slice) that connect all that are linked.
+    """(a, b): links of queries and members (doc_id, block, slice) of blocks that connect all that are linked.
 
     Each block, with a slice of its queries, is one group: its token union bounds
     the overlap, and only queries within the bound are compared with members.
@@ -387,12 +440,7 @@ def opened(queries: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int)
         found = forest(links(q, members)) if len(q) and len(members) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    def with_sets(df: DataFrame, side: str) -> DataFrame:
-        return df.join(sets, "doc_id").select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "block", "slice", "tokens")])
-
-    left = with_sets(queries, "query").groupBy("query_block", "query_slice")
-    right = with_sets(blocks, "member").groupBy("member_block", "member_slice")
-    return left.cogroup(right).applyInPandas(compare, "a long, b long")
+    return _together(queries, blocks, sets, "tokens", compare, "a long, b long")
 
 
 def parts_of(documents, tokens, most: int) -> Column:
@@ -427,12 +475,13 @@ def links_between(texts: DataFrame, groups: DataFrame, units: DataFrame, sizes:
     sliced = asked.drop("size").join(slices, "block").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), "slices"))
     spread = blocks.select("doc_id", "block").join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
 
-    sets = sets_of(texts, blocks.select("doc_id").unionByName(asked.select("doc_id")), n, ends_of(single))
-    links = stored(opened(sliced, spread, sets.where("tokens is not null").select("doc_id", "tokens"), percent), "group-links")
-    close = stored(possible(single, sets, percent), "close-pairs")
-    discard(sets)
-    sets = sets_of(texts, ends_of(close), n)
-    return links.unionByName(stored(verified(close, sets, percent), "single-links"))
+    rough = sets_of(texts, blocks.select("doc_id").unionByName(asked.select("doc_id")).unionByName(ends_of(single)), n, rough=True)
+    open_to = stored(qualifying(sliced, spread, rough, percent), "qualifying")
+    close = stored(possible(single, rough, percent), "close-pairs")
+    discard(rough)
+    sets = sets_of(texts, open_to.select("doc_id").unionByName(ends_of(close)), n)
+    links = opened(open_to.where("asks"), open_to.where("not asks"), sets, percent)
+    return stored(links.unionByName(verified(close, sets, percent)), "links")
 
 
 def families(alone: DataFrame) -> DataFrame:
