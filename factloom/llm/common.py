@@ -10,12 +10,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.sources.scratch import scratch_path, shared_dir, stored
+from factloom.sources import scratch
+from factloom.sources.scratch import scratch_path, shared_dir
 
 #: A word of the query contracts: a run of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "WordHashes", "batch_word_hashes", "discard", "distinct", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "rows_where", "scratch_path", "shared_dir", "stored", "text_or_empty"]
+__all__ = ["WORD", "batch_word_hashes", "discard", "distinct", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "rows_where", "scratch_path", "shared_dir", "stored", "text_or_empty", "with_row_ids"]
+
+
+#: Bytes of an Arrow batch between the JVM and Python while a table is written.
+BATCH_BYTES = "8m"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, with Arrow batches of few bytes on the way."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH_BYTES)
+    try:
+        return scratch.stored(df, name)
+    finally:
+        conf.set(key, before)
 
 
 def discard(df: DataFrame) -> None:
@@ -88,19 +104,23 @@ def rows_where(docs: DataFrame, kept: Callable[[Iterator[list[str]]], Iterable[l
     return docs.mapInArrow(run, docs.schema)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (as bytes), remembered up to a bounded number of words."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with a doc_id of their own, and the others (if any), stored with ids that no other row has as ``row_id``."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    times = ids.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    most, odd = times.agg(F.max("id"), F.count(F.when(F.col("id").isNull() | (F.col("times") > 1), 1))).first()
+    if not odd:
+        return docs, None
+    repeated = stored(times.where("times > 1 and id is not null").select("id"), "repeated-ids")
+    key = docs["doc_id"].cast("long")
+    others = docs.where("doc_id is null").unionByName(docs.join(repeated, key == F.col("id"), "left_semi"))
+    # Above the largest doc_id, or where that leaves no room below zero, the least one.
+    most = most if most is not None else 0
+    if most < 2**62:
+        row_id = F.monotonically_increasing_id() + F.lit(max(0, most + 1))
+    else:
+        row_id = F.lit(min(0, ids.agg(F.min("id")).first()[0]) - 1) - F.monotonically_increasing_id()
+    return docs.where("doc_id is not null").join(repeated, key == F.col("id"), "left_anti"), stored(others.withColumn("row_id", row_id), "odd-rows")
 
 
 #: Blanks of the query contracts; words of more bytes than ``_LONG`` are hashed one by one; masks of the bytes of a chunk.
@@ -194,11 +214,12 @@ def fixed_filter(values: DataFrame) -> np.ndarray:
         for b in batches:
             for part, held in zip(b["part"], b["slots"], strict=True):
                 bitmap = np.zeros(width, bool)
-                bitmap[np.array(held, np.int64) - part * width] = True
+                bitmap[held.values.to_numpy() - part * width] = True
                 yield {"part": [part], "bitmap": [np.packbits(bitmap).tobytes()]}
 
     slots = mapped(values, find, "slot long").groupBy(F.floor(F.col("slot") / F.lit(width)).alias("part")).agg(F.collect_set("slot").alias("slots"))
-    found = {r.part: np.frombuffer(r.bitmap, np.uint8) for r in mapped(slots, pack, "part long, bitmap binary").toLocalIterator()}
+    packed = mapped(slots, pack, "part long, bitmap binary", raw=("slots",))
+    found = {r.part: np.frombuffer(r.bitmap, np.uint8) for r in packed.collect()}
     return np.concatenate([found.get(p, np.zeros(width // 8, np.uint8)) for p in range(SLICES)])
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, discard, distinct, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty
+from .common import batch_word_hashes, discard, distinct, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty, with_row_ids
 from .components import connected
 
 #: Words of a shingle; the similarity of a link in hundredths.
@@ -548,25 +548,6 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     return out.unionByName(mapped(nameless, count, "doc_id long, n_shingles long, component_id long"))
 
 
-def with_row_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The rows with a doc_id of their own, and the others (if any), stored with ids that no other row has as ``row_id``."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    times = ids.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
-    most, odd = times.agg(F.max("id"), F.count(F.when(F.col("id").isNull() | (F.col("times") > 1), 1))).first()
-    if not odd:
-        return docs, None
-    repeated = stored(times.where("times > 1 and id is not null").select("id"), "repeated-ids")
-    key = docs["doc_id"].cast("long")
-    others = docs.where("doc_id is null").unionByName(docs.join(repeated, key == F.col("id"), "left_semi"))
-    # Above the largest doc_id, or where that leaves no room below zero, the least one.
-    most = most if most is not None else 0
-    if most < 2**62:
-        row_id = F.monotonically_increasing_id() + F.lit(max(0, most + 1))
-    else:
-        row_id = F.lit(min(0, ids.agg(F.min("id")).first()[0]) - 1) - F.monotonically_increasing_id()
-    return docs.where("doc_id is not null").join(repeated, key == F.col("id"), "left_anti"), stored(others.withColumn("row_id", row_id), "odd-rows")
-
-
 def without_similar(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component, all columns as they are.
 

@@ -10,8 +10,8 @@ repeats; every word in one goes.
 
 Scale: no pairs are made.  Counts of anchors and of windows are combined before
 they are shuffled, so a passage in a third of all documents is a row per task;
-the join that brings counts back to windows has one row a key on one side, and
-Spark can split the other.
+the join that brings counts back to windows reads a stored table with one row a
+key on one side, so Spark can split a hot key of the other.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty
+from .common import batch_word_hashes, fixed_filter, gram_hashes, mapped, mixed, passes, stored, text_or_empty, with_row_ids
 
 #: Words of a window (the least length of a repeat).
 WINDOW = 35
@@ -47,11 +47,9 @@ def least_positions(grams: np.ndarray, span: int) -> np.ndarray:
 class Batch:
     """The words of some texts as one array of hashes, and their valid windows."""
 
-    def __init__(self, bodies: list[str], hashes: WordHashes, window: int):
-        lists = [t.encode().split() for t in bodies]
-        self.bounds = np.cumsum([0, *map(len, lists)])
-        words = np.concatenate([hashes.of(x) for x in lists]) if lists else np.empty(0, np.uint64)
-        row = np.repeat(np.arange(len(lists)), np.diff(self.bounds))
+    def __init__(self, bodies: list[str], window: int):
+        words, self.bounds = batch_word_hashes([t.encode() for t in bodies])
+        row = np.repeat(np.arange(len(bodies)), np.diff(self.bounds))
         size = gram_size(window)
         self.starts = np.flatnonzero(row[: max(0, len(row) - window + 1)] == row[window - 1 :]) if len(row) >= window else np.empty(0, np.int64)
         self.row = row[self.starts]
@@ -69,9 +67,8 @@ def anchor_counts(texts: DataFrame, window: int) -> DataFrame:
     """anchor, n: how many places chose each anchor."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes = WordHashes()
         for b in batches:
-            batch = Batch(b["body"], hashes, window)
+            batch = Batch(b["body"], window)
             if len(batch.starts):
                 _, first = np.unique(batch.anchor_at, return_index=True)
                 anchors, n = np.unique(batch.anchor[first], return_counts=True)
@@ -80,22 +77,25 @@ def anchor_counts(texts: DataFrame, window: int) -> DataFrame:
     return mapped(texts.select("body"), rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def seeded_windows(texts: DataFrame, window: int, bitmap) -> DataFrame:
-    """rid, at, low, high: the windows that hold a repeated anchor, their place and hashes."""
+def seeded_windows(texts: DataFrame, window: int, seeds, repeats=None) -> DataFrame:
+    """rid, at, low, high: the windows that hold a repeated anchor and may be repeated themselves, their place and hashes."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes = WordHashes()
         for b in batches:
-            batch = Batch(b["body"], hashes, window)
+            batch = Batch(b["body"], window)
             if not len(batch.starts):
                 continue
-            chosen = np.flatnonzero(passes(bitmap.value, batch.anchor))
+            chosen = np.flatnonzero(passes(seeds.value, batch.anchor))
+            low = batch.window_hashes(window, chosen)
+            if repeats is not None:
+                known = passes(repeats.value, low)
+                chosen, low = chosen[known], low[known]
             if len(chosen):
                 row = batch.row[chosen]
                 yield {
                     "rid": np.array(b["rid"], np.int64)[row],
                     "at": (batch.starts[chosen] - batch.bounds[row]).astype(np.int32),
-                    "low": batch.window_hashes(window, chosen).view(np.int64),
+                    "low": low.view(np.int64),
                     "high": (mixed(batch.anchor[chosen]) >> np.uint64(32)).astype(np.uint32).view(np.int32),
                 }
 
@@ -104,12 +104,14 @@ def seeded_windows(texts: DataFrame, window: int, bitmap) -> DataFrame:
 
 def repeated_places(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """rid, starts: the starts of all repeated windows of a text, for texts that have any."""
-    spark = texts.sparkSession
+    context = texts.sparkSession.sparkContext
     anchors = stored(anchor_counts(texts, window).where("n >= 2").select("anchor"), "repeated-anchors")
-    bitmap = spark.sparkContext.broadcast(fixed_filter(anchors))
-    windows = seeded_windows(texts, window, bitmap)
-    repeated = windows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("low", "high")
-    hits = windows.join(repeated.hint("merge"), ["low", "high"])
+    seeds = context.broadcast(fixed_filter(anchors))
+    windows = seeded_windows(texts, window, seeds)
+    # Stored, so that both sides of the join are plain and a hot window can be split.
+    repeated = stored(windows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("low", "high"), "repeated-windows")
+    repeats = context.broadcast(fixed_filter(repeated.select("low")))
+    hits = seeded_windows(texts, window, seeds, repeats).join(repeated, ["low", "high"])
     return hits.groupBy("rid").agg(F.collect_list("at").alias("starts"))
 
 
@@ -124,8 +126,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     them; null doc_ids are like any other; other columns don't matter; an empty
     table gives no rows.
     """
-    body = text_or_empty()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(F.col("doc_id").cast("long"), body).alias("rid"))
+    own, odd = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")))
+    texts = own.withColumn("rid", F.col("doc_id"))
+    if odd is not None:
+        texts = texts.unionByName(odd.withColumnRenamed("row_id", "rid"))
     places = repeated_places(texts.select("rid", "body"), window)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
