@@ -25,14 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mixed, text_or_empty
+from .common import mapped, mixed, rows_where, stored, text_or_empty
 
 WORDS = re.compile(r"\w+").findall
 #: Edits per item word that still count as the item.
 EDIT_RATE = 0.2
 #: Walks, samples of each walk, positions in a sample.  With these a passage at
-#: the full edit rate is found with a chance over 0.9, at half of it over 0.98
-#: (tests/llm/test_decontamination.py measures both).
+#: the full edit rate is found with a chance of 0.9 at least, at half of it 0.97
+#: (tests/llm/test_operators.py measures both).
 WALKS, SAMPLES, BITS = 4, 4, 3
 #: Bytes of item text in a block.
 BLOCK_BYTES = 4 << 20
@@ -173,14 +173,28 @@ def least_edits(item: np.ndarray, regions: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_bytes``: as many passes as their size asks for."""
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of about ``block_bytes`` the items make, and the blocks: as many passes as their size asks for."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("body"))
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks)) == b)
-        yield [(r.item_id, r.body) for r in part.collect()]
+
+    def each() -> Iterator[list[tuple[int, str]]]:
+        for b in range(blocks):
+            part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks)) == b)
+            yield [(r.item_id, r.body) for r in part.collect()]
+
+    return blocks, each()
+
+
+def found_in(items: Items, texts: list[str]) -> list[tuple[int, int, int, int]]:
+    """(text, item, edits, near which word) of each item that a text holds."""
+    known = items.vocabulary.get
+    lists = [[known(w, 0) for w in WORDS(t.lower())] for t in texts]
+    bounds = np.cumsum([0, *map(len, lists)])
+    words = np.fromiter((w for x in lists for w in x), np.int64, int(bounds[-1]))
+    document = np.repeat(np.arange(len(lists)), np.diff(bounds))
+    return [(d, k, edits, int(at - bounds[d])) for (d, k), (edits, at) in sorted(items.matches(words, document, bounds).items())]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -188,31 +202,49 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, edit_rate: float =
 
     Words are runs of word characters in lower case.  One row for a row of
     ``docs`` and an item, with the least edits and the first window near it.
-    Items without words match nothing; null and empty texts hold nothing; repeated
-    documents or items give repeated rows; null ids come through; no rows on an
-    empty table.  Other columns don't matter.
+    Items without words match nothing; null and empty texts hold nothing; a very
+    long text is searched whole; repeated documents or items give repeated rows;
+    null ids come through; no rows on an empty table.  Other columns don't matter.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
+    blocks, each = item_blocks(benchmark, block_bytes)
     out = None
-    for block in item_blocks(benchmark, block_bytes):
+    for block in each:
+        shipped = docs.sparkSession.sparkContext.broadcast(block)
 
-        def rows(batches, block=block):
-            items = Items(block, edit_rate)
-            known = items.vocabulary.get
+        def rows(batches, shipped=shipped):
+            items = Items(shipped.value, edit_rate)
             for b in batches:
-                lists = [[known(w, 0) for w in WORDS(t.lower())] for t in b["body"]]
-                bounds = np.cumsum([0, *map(len, lists)])
-                words = np.fromiter((w for x in lists for w in x), np.int64, int(bounds[-1]))
-                document = np.repeat(np.arange(len(lists)), np.diff(bounds))
-                found = sorted(items.matches(words, document, bounds).items())
-                yield {"doc_id": [b["doc_id"][d] for (d, _), _ in found], "item_id": [items.ids[k] for (_, k), _ in found], "edits": [e for _, (e, _) in found], "near_word": [int(w - bounds[d]) for (d, _), (_, w) in found]}
+                found = found_in(items, b["body"])
+                yield {"doc_id": [b["doc_id"][d] for d, *_ in found], "item_id": [items.ids[k] for _, k, *_ in found], "edits": [e for *_, e, _ in found], "near_word": [w for *_, w in found]}
 
         part = mapped(texts, rows, "doc_id long, item_id long, edits int, near_word long")
+        if blocks > 1:  # a pass is done before the next block is fetched
+            part = stored(part, "contamination")
+            shipped.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold an item; rows without a doc_id count as one document."""
-    held = find_contamination(docs, benchmark, **options).select(F.col("doc_id").alias("held_doc_id")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["held_doc_id"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text holds an item, all columns as they are.
+
+    Each row is judged by its own text, so a row without a doc_id, or one whose
+    doc_id repeats with another text, goes only if its own text holds an item.
+    Null and empty texts stay; an empty table gives an empty table.
+    """
+    blocks, each = item_blocks(benchmark, block_bytes)
+    for block in each:
+        shipped = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(bodies, shipped=shipped):
+            items = Items(shipped.value, edit_rate)
+            for texts in bodies:
+                held = {d for d, *_ in found_in(items, texts)}
+                yield [k not in held for k in range(len(texts))]
+
+        docs = rows_where(docs, clean)
+        if blocks > 1:
+            docs = stored(docs, "decontaminated")
+            shipped.destroy()
+    return docs

@@ -126,8 +126,8 @@ def test_recall_over_edited_items(rate, least):
     for words in index.words:
         x = words.tolist()
         for _ in range(int(rate * len(words))):
-            at = rnd.randrange(len(x))
-            x[at : at + rnd.randint(0, 1)] = [rnd.randrange(3000)] * rnd.randint(0, 1)
+            at, kind = rnd.randrange(len(x)), rnd.randrange(3)  # a word is changed, lost or added
+            x[at : at + (kind < 2)] = [] if kind == 1 else [rnd.randrange(3000, 6000)]
         noise = [rnd.randrange(3000) for _ in range(80)]
         lists.append(noise[:40] + x + noise[40:])
     bounds = np.cumsum([0, *map(len, lists)])

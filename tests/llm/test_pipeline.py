@@ -50,7 +50,7 @@ def brute_toxic(rows, labels):
     def counts(text):
         out = Counter()
         for w in re.findall(r"\w+", text.lower()):
-            out.update([w, *("^" + w[:n] for n in (3, 4, 5, 6) if len(w) > n)])
+            out[w] += 1
         return out
 
     held = {d: counts(t) for d, t in rows}
@@ -120,3 +120,33 @@ def test_stages_equal_brute_force(spark, tmp_path):
         expected.append((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == sorted(expected)
+
+
+LONG = " ".join(f"long{k % 7919}x{k // 7919}" for k in range(100_000))
+
+
+def test_stages_take_awkward_rows(spark):
+    """Nulls, repeated rows and ids, empty and very long texts, extra columns; empty tables."""
+    item = queries.table(spark, SMALL, "benchmark").orderBy("item_id").first().text
+    toxic = queries.table(spark, SMALL, "documents").join(queries.table(spark, SMALL, "labels").where("toxic = 1"), "doc_id").orderBy("doc_id").first().text
+    own = [(1, "a b c d e f g"), (1, "another text with this id"), (2, None), (2, None), (3, ""), (None, item), (None, "harmless and without an id"), (4, LONG), (5, item), (5, "harmless with an id that repeats"), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, body string, row array<string>"
+    docs = spark.createDataFrame([(d, t, None, None if k % 2 else "s", None, "clash", ["x"]) for k, (d, t) in enumerate(own)], schema)
+    assert len(LONG) > 1 << 20
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+        if name == "token_files":
+            rows = out.collect()
+            assert len(rows) == len(own) and sorted(r.doc_id for r in rows if r.doc_id) == [1, 1, 2, 2, 3, 4, 5, 5]
+            continue
+        assert out.columns == docs.columns
+        left = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        gone = {"decontamination": [(None, item), (5, item)], "near_duplicates": [(None, item)]}.get(name, [])
+        if name == "mixing":
+            assert set(left) <= set(own)
+        else:
+            assert left == sorted([x for x in own if x not in gone], key=repr), name
+    mixed = spark.createDataFrame([(None, toxic), (None, "harmless"), (7, toxic), (7, "harmless too")], "doc_id long, text string").union(queries.table(spark, SMALL, "documents").select("doc_id", "text"))
+    left = {r.text for r in toxicity.without_toxic(mixed, queries.table(spark, SMALL, "labels")).collect()}
+    assert {"harmless", "harmless too"} <= left
