@@ -43,8 +43,10 @@ COMMON_SHARE, DENSE = 0.03, 2048
 BLOCK, CENTRES = 16, 64
 #: Words of a part of the document frequencies.
 COUNTED = 8192
+#: Texts whose scores are remembered for further rows with them.
+REMEMBERED = 8192
 #: Documents searched at a time, and characters turned to vectors at a time.
-SEARCHED, CHARACTERS = 128, 1 << 19
+SEARCHED, CHARACTERS = 64, 1 << 18
 
 
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -190,9 +192,10 @@ class BlockMaxIndex:
         self.maxima = np.ascontiguousarray(self.dense.max(axis=2).T) if n else np.zeros((len(common), 0), np.float32)
         rare = np.flatnonzero(~inside)
         rare = rare[np.argsort(self.features[rare], kind="stable")]
-        self.posted, self.posted_weights = vector[rare].astype(np.int64), weights[rare].astype(np.float32)
+        self.posted, self.posted_weights = vector[rare], weights[rare].astype(np.float32)
         self.post_begins = np.concatenate(([0], np.cumsum(np.where(self.place < 0, np.bincount(self.features, minlength=width), 0))))
         self.values, self.scratch, self.opened = weights, np.zeros(width), True
+        del self.times  # the weights take their place
 
     @property
     def weights(self) -> np.ndarray:
@@ -232,7 +235,7 @@ class BlockMaxIndex:
         starts, ends = self.post_begins[features[rare]], self.post_begins[features[rare] + 1]
         rare, starts, lengths = rare[ends > starts], starts[ends > starts], (ends - starts)[ends > starts]
         at = runs(starts, lengths)
-        posted, sums = self.posted[at], self.posted_weights[at] * np.repeat(weights[rare], lengths)
+        posted, sums = self.posted[at], self.posted_weights[at] * np.repeat(weights[rare].astype(np.float32), lengths)
         edges = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(rare, bounds)].tolist()
         for q, (a, b) in enumerate(pairwise(edges)):
             if b > a:
@@ -380,7 +383,7 @@ class Scorer:
         names, index, seen = self.names.value, self.index.value, {}
         for texts in batches:
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-            if len(seen) > 20_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             new = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}
             order = list(new)
