@@ -209,13 +209,16 @@ def leader_pairs(documents: DataFrame) -> DataFrame:
     return keyed.join(leaders, "key").where((F.col("doc_id") != F.col("b")) & (agree >= AGREEING)).select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def cells(documents: DataFrame, kept: np.ndarray | None = None) -> DataFrame:
-    """token, unit, place, least, most, large: a row for each token of the prefixes (unit, size, prefix, large), of those that ``kept`` tells only."""
+def cells(documents: DataFrame, kept: np.ndarray | None = None, told=None) -> DataFrame:
+    """token, unit, place, least, most, large: a row for each token of the prefixes (unit, size, prefix, large), of those that ``kept`` tells only.
+
+    ``told`` chooses rows first, in the same Python step.
+    """
     shipped = documents.sparkSession.sparkContext.broadcast(kept)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         bitmap = shipped.value
-        for b in batches:
+        for b in batches if told is None else told(batches):
             prefixes = [np.frombuffer(p, np.uint64) for p in b["prefix"]]
             lengths = [len(p) for p in prefixes]
             tokens = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
@@ -232,8 +235,8 @@ def prints(tokens: np.ndarray) -> np.ndarray:
     return mixed(tokens) >> np.uint64(16)
 
 
-def shared_prints(alone: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
-    """The 48 bits of every token that more than one unit has.
+def shared_prints(documents: DataFrame, told, groups: DataFrame, buckets: int) -> DataFrame:
+    """The 48 bits of every token that more than one unit has: of the documents that ``told`` chooses and of the groups.
 
     Tokens travel as packed bytes, six a token, by bucket; of a token's rows at
     most two leave a task's portion, so a frequent one fills no bucket.
@@ -260,7 +263,7 @@ def shared_prints(alone: DataFrame, groups: DataFrame, buckets: int) -> DataFram
             yield packed(portion)
 
     def of_prefixes(batches: Iterator[dict]) -> Iterator[dict]:
-        return portions(np.frombuffer(p, np.uint64) for b in batches for p in b["prefix"])
+        return portions(np.frombuffer(p, np.uint64) for b in told(batches) for p in b["prefix"])
 
     def of_tokens(batches: Iterator[dict]) -> Iterator[dict]:
         return portions(np.array(b["token"], np.int64).view(np.uint64) for b in batches)
@@ -272,7 +275,7 @@ def shared_prints(alone: DataFrame, groups: DataFrame, buckets: int) -> DataFram
         values = np.sort(values.reshape(-1).view(np.uint64))
         return pa.table({"print": distinct(values[1:][values[1:] == values[:-1]]).view(np.int64)})
 
-    held = mapped(alone.select("prefix"), of_prefixes, "bucket long, held binary").unionByName(mapped(groups.select("token"), of_tokens, "bucket long, held binary"))
+    held = mapped(documents.select("unit", "prefix"), of_prefixes, "bucket long, held binary").unionByName(mapped(groups.select("token"), of_tokens, "bucket long, held binary"))
     return held.groupBy("bucket").applyInArrow(twice, "print long")
 
 
@@ -287,19 +290,17 @@ def matrix(documents: DataFrame, units: DataFrame, copies: DataFrame) -> DataFra
     others = units.where("large").select("doc_id").unionByName(copies.select(F.col("a").alias("doc_id")))
     shipped = documents.sparkSession.sparkContext.broadcast(fixed_filter(others))
 
-    def told(batches: Iterator[dict], want: bool) -> Iterator[dict]:
+    def told(batches: Iterator[dict], want: bool = False) -> Iterator[dict]:
         for b in batches:
-            at = np.flatnonzero(passes(shipped.value, np.array(b["doc_id"], np.int64).view(np.uint64)) == want).tolist()
+            at = np.flatnonzero(passes(shipped.value, np.array(b["unit"], np.int64).view(np.uint64)) == want).tolist()
             yield {k: [v[i] for i in at] for k, v in b.items()}
 
-    schema = "doc_id long, size long, prefix binary"
-    parts = documents.select("doc_id", "size", "prefix")
-    alone = mapped(parts, lambda batches: told(batches, False), schema).select(F.col("doc_id").alias("unit"), "size", "prefix", F.lit(False).alias("large"))
-    grouped = mapped(parts, lambda batches: told(batches, True), schema).join(units, "doc_id")
+    parts = documents.select(F.col("doc_id").alias("unit"), "size", "prefix", F.lit(False).alias("large"))
+    grouped = mapped(parts.drop("large"), lambda batches: told(batches, True), "unit long, size long, prefix binary").withColumnRenamed("unit", "doc_id").join(units, "doc_id")
     groups = cells(grouped).groupBy("token", "unit").agg(F.min("place").alias("place"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("large").alias("large"))
     groups = stored(groups, "groups")
     tokens = documents.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
-    kept = fixed_filter(stored(shared_prints(alone, groups, max(64, int(tokens) // PORTION)), "shared-prints"))
+    kept = fixed_filter(stored(shared_prints(parts, told, groups, max(64, int(tokens) // PORTION)), "shared-prints"))
     bitmap = documents.sparkSession.sparkContext.broadcast(kept)
 
     def shared(batches: Iterator[dict]) -> Iterator[dict]:
@@ -307,7 +308,7 @@ def matrix(documents: DataFrame, units: DataFrame, copies: DataFrame) -> DataFra
             at = np.flatnonzero(passes(bitmap.value, prints(np.array(b["token"], np.int64).view(np.uint64)))).tolist()
             yield {k: [v[i] for i in at] for k, v in b.items()}
 
-    return stored(cells(alone, kept).unionByName(mapped(groups, shared, "token long, unit long, place int, least int, most int, large boolean")), "matrix")
+    return stored(cells(parts, kept, told).unionByName(mapped(groups, shared, "token long, unit long, place int, least int, most int, large boolean")), "matrix")
 
 
 def candidate_units(groups: DataFrame, percent: int) -> DataFrame:

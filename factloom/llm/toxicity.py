@@ -179,22 +179,26 @@ class BlockMaxIndex:
         if self.opened:
             return
         n, width = len(self.rows), len(self.idf)
-        vector = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begins))
-        weights = self.weigh(vector, self.features, self.times, n)
         common = self._common(self.features, n)
         self.place = np.full(width, -1, np.int32)
         self.place[common] = np.arange(len(common))
-        place = self.place[self.features]
-        blocks = -(-n // BLOCK)
-        self.dense = np.zeros((blocks, len(common), BLOCK), np.float32)
-        inside = place >= 0
-        self.dense[vector[inside] // BLOCK, place[inside], vector[inside] % BLOCK] = weights[inside]
+        self.dense = np.zeros((-(-n // BLOCK), len(common), BLOCK), np.float32)
+        self.values = np.empty(len(self.features))
+        # Block by block, as a worker's memory is short.
+        for k in range(len(self.dense)):
+            begins = self.begins[k * BLOCK : k * BLOCK + BLOCK + 1]
+            part = slice(begins[0], begins[-1])
+            vector = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            weights = self.values[part] = self.weigh(vector, self.features[part], self.times[part], BLOCK)
+            place = self.place[self.features[part]]
+            self.dense[k, place[place >= 0], vector[place >= 0]] = weights[place >= 0]
         self.maxima = np.ascontiguousarray(self.dense.max(axis=2).T) if n else np.zeros((len(common), 0), np.float32)
-        rare = np.flatnonzero(~inside)
+        rare = np.flatnonzero(self.place[self.features] < 0).astype(np.int32)
         rare = rare[np.argsort(self.features[rare], kind="stable")]
-        self.posted, self.posted_weights = vector[rare], weights[rare].astype(np.float32)
+        self.posted = (np.searchsorted(self.begins, rare, "right") - 1).astype(np.int32)
+        self.posted_weights = self.values[rare].astype(np.float32)
         self.post_begins = np.concatenate(([0], np.cumsum(np.where(self.place < 0, np.bincount(self.features, minlength=width), 0))))
-        self.values, self.scratch, self.opened = weights, np.zeros(width), True
+        self.scratch, self.opened = np.zeros(width), True
         del self.times  # the weights take their place
 
     @property
