@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.sources import scratch
@@ -16,22 +17,29 @@ from factloom.sources.scratch import scratch_path, shared_dir
 #: A word of the query contracts: a run of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "batch_word_hashes", "discard", "distinct", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "rows_where", "scratch_path", "shared_dir", "stored", "text_or_empty", "with_row_ids"]
+__all__ = ["WORD", "batch_word_hashes", "discard", "distinct", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "rows_where", "scratch_path", "shared_dir", "small_batches", "stored", "text_or_empty", "with_row_ids"]
 
 
 #: Bytes of an Arrow batch between the JVM and Python while a table is written.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few bytes for the tables that are written inside: their buffers lie outside the heap on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, with Arrow batches of few bytes on the way."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = conf.get(key)
-    conf.set(key, BATCH_BYTES)
-    try:
+    with small_batches(df.sparkSession):
         return scratch.stored(df, name)
-    finally:
-        conf.set(key, before)
 
 
 def discard(df: DataFrame) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, scratch_path, text_or_empty
+from .common import mapped, scratch_path, small_batches, text_or_empty
 
 #: Bytes of a row group, bytes and rows of a page.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 256
@@ -177,7 +177,8 @@ def encoded(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = 0
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | Callable[[], str], end_id: int = 0) -> None:
-    encoded(docs, tokenizer, end_id).write.options(**LAYOUT).parquet(path)
+    with small_batches(docs.sparkSession):
+        encoded(docs, tokenizer, end_id).write.options(**LAYOUT).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
