@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,13 @@ def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += part.num_rows
 
 
+def give_back() -> None:
+    """Returns what a worker process no longer uses to the system, as it waits for further tasks beside others."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str, raw: tuple[str, ...] = ()) -> DataFrame:
     """``df`` through ``rows``, which turns dicts of column lists into dicts of column lists.
 
@@ -88,6 +96,8 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[d
 
         for out in rows(slices()):
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -108,6 +118,7 @@ def rows_where(docs: DataFrame, kept: Callable[[Iterator[list[str]]], Iterable[l
 
         for answers in kept(bodies()):
             yield parts.pop().filter(pa.array(answers, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
