@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, scratch_path, small_batches, text_or_empty
+from .common import mapped, scratch_path, small_batches, stored, text_or_empty
 
 #: Bytes of a row group, bytes and rows of a page.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 256
@@ -203,7 +203,8 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
             ids = memoryview(b["token_ids"].values.to_numpy().astype("<u4", copy=False)).cast("B")
             yield {"doc_id": b["doc_id"], "file": b["file"], "at": b["at"], "n_tokens": np.diff(ends).tolist(), "ids_crc32": [zlib.crc32(ids[4 * x : 4 * y]) for x, y in itertools.pairwise(ends.tolist())]}
 
-    rows = mapped(stored_rows, sums, "doc_id long, file string, at long, n_tokens long, ids_crc32 long", raw=("token_ids",))
+    # Stored, so that the ids pass to Python in small batches.
+    rows = stored(mapped(stored_rows, sums, "doc_id long, file string, at long, n_tokens long, ids_crc32 long", raw=("token_ids",)), "token-sums")
     inside = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     # One row per file: the counts alone, read without the token column.
