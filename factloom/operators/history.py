@@ -4,6 +4,8 @@ Tables live in one folder as Parquet: ``commits`` (id, message, author, created_
 merge), ``parents`` (id, parent), ``facts`` (commit, e, a, v) and ``metafacts``.
 Appends never rewrite.  A branch is a numbered series of heads; writing the next
 number fails if another writer took it, which is the compare-and-set of a push.
+That needs a file system that creates a file only if there is none in one step
+(local disks and HDFS do; most object stores don't, so push from one writer there).
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.model import content_id
@@ -24,6 +27,13 @@ PARENTS = "id string, parent string"
 FACTS = "commit string, e string, a string, v string"
 
 
+def set_digest(facts: DataFrame) -> Row:
+    """What tells sets of (e, a, v) apart: their size and the sums of two independent hashes of the distinct facts."""
+    distinct = facts.select("e", "a", F.col("v").cast("string").alias("v")).distinct()
+    sums = [F.sum(F.xxhash64(F.lit(seed), "e", "a", "v").cast("decimal(38,0)")) for seed in (1, 2)]
+    return distinct.agg(F.count(F.lit(1)), *sums).first()
+
+
 class Conflict(Exception):
     """The branch has moved on."""
 
@@ -82,10 +92,14 @@ class Repository:
 
     def _set_head(self, name: str, number: int, commit: str | None) -> None:
         jvm, fs = self._fs()
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/branches/{name}/{number}")
         try:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/branches/{name}/{number}"), False)
-        except Exception as e:
-            raise Conflict(f"{name} has moved on") from e
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            # Other failures (permissions, the network) are no conflict and must not be tried again for ever.
+            if fs.exists(target):
+                raise Conflict(f"{name} has moved on") from e
+            raise
         try:
             out.write(bytearray((commit or "").encode()))
         finally:
@@ -111,7 +125,7 @@ class Repository:
 
     def write_commit(self, facts: DataFrame | None, message: str, parents: list[str], author: str = "", created_at: dt.datetime | None = None, metafacts: DataFrame | None = None) -> str:
         """Appends a commit; ``facts`` are (e, a, v) rows.  Its id follows from what it holds."""
-        digest = "" if facts is None else str(facts.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("e", "a", "v"))).first())
+        digest = "".join("-" if df is None else str(tuple(set_digest(df))) for df in (facts, metafacts))
         stamp = created_at or (dt.datetime.now(dt.UTC).replace(tzinfo=None) if facts is not None else None)
         id = str(content_id("\0".join([digest, message, author, str(stamp), *sorted(parents)]).encode()))
         for name, df in (("facts", facts), ("metafacts", metafacts)):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tokens
+from factloom.sources.scratch import scratch_path
 
 #: Term saturation and length normalisation.
 K1, B = 1.5, 0.75
@@ -24,15 +25,27 @@ class BM25Index:
     b: float = B
 
     @staticmethod
-    def build(docs: DataFrame, terms: Column | None = None, k1: float = K1, b: float = B) -> BM25Index:
-        """``docs``: doc, text (or any columns for ``terms``, an array).  Of repeated documents the largest tf of a row counts."""
-        listed = docs.select("doc", (tokens.words(F.col("text")) if terms is None else terms).alias("terms"))
-        rows = listed.withColumn("row", F.monotonically_increasing_id())
-        within = rows.select("doc", "row", F.explode("terms").alias("term")).groupBy("doc", "row", "term").agg(F.count(F.lit(1)).alias("tf"))
-        postings = within.groupBy("doc", "term").agg(F.max("tf").alias("tf"))
-        total = postings.groupBy("doc").agg(F.sum("tf").alias("length"))
-        lengths = listed.select("doc").distinct().join(total, "doc", "left").fillna(0, ["length"])
-        return BM25Index(postings, lengths, k1, b)
+    def build(docs: DataFrame, terms: Column | None = None, k1: float = K1, b: float = B, path: str | None = None) -> BM25Index:
+        """``docs``: doc, text (or any columns for ``terms``, an array).  Of repeated documents the largest tf of a row counts.
+
+        Texts are tokenised once: the postings are written (to ``path`` to keep
+        them, for ``open``) and everything else is read from there.
+        """
+        spark = docs.sparkSession
+        path = path or scratch_path(spark, "bm25")
+        listed = docs.select("doc", (tokens.words(F.col("text")) if terms is None else terms).alias("terms")).withColumn("row", F.monotonically_increasing_id())
+        # A row without terms leaves one with a null term, so that its document counts.
+        within = listed.select("doc", "row", F.explode_outer("terms").alias("term")).groupBy("doc", "row", "term").agg(F.count(F.lit(1)).alias("tf"))
+        within.groupBy("doc", "term").agg(F.max("tf").alias("tf")).write.parquet(f"{path}/postings")
+        postings = spark.read.parquet(f"{path}/postings")
+        length = F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))), F.lit(0)).alias("length")
+        postings.groupBy("doc").agg(length).write.parquet(f"{path}/lengths")
+        return BM25Index.open(spark, path, k1, b)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str, k1: float = K1, b: float = B) -> BM25Index:
+        """The index that ``build`` wrote to ``path``."""
+        return BM25Index(spark.read.parquet(f"{path}/postings").where("term is not null"), spark.read.parquet(f"{path}/lengths"), k1, b)
 
     def merge(self, other: BM25Index) -> BM25Index:
         """Documents of either; of a document's term the larger tf."""

@@ -11,15 +11,17 @@ term is a constant.
 
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.model import FactSet, InTable
+from factloom.operators.model import ENCODINGS, FactSet, InPairs, InTable
 
 _fresh = itertools.count()
 
@@ -186,9 +188,28 @@ class InRange(Constraint):
     attribute: str | None = None
 
     def parts(self) -> Parts:
-        df = self.facts.canonical() if self.attribute is None else self.facts.pairs(self.attribute)
+        within = F.col(self.axis).between(F.lit(self.low), F.lit(self.high))
+        if self.attribute is not None:
+            df = self.facts.pairs(self.attribute).where(within)
+        elif self.axis == "v":
+            # Values compare in their own type; attributes of another type hold nothing between the bounds.
+            fits = [n for n in self.facts.data if comparable(ENCODINGS[self.facts.attributes[n].encoding].spark, self.low, self.high)]
+            df = FactSet({n: self.facts.attributes[n] for n in fits}, {n: InPairs(self.facts.pairs(n).where(within)) for n in fits})
+            if not fits:
+                df = self.facts.canonical().where(F.lit(False))
+            else:
+                df = df.canonical()
+        else:
+            df = self.facts.canonical().where(within)
         name = self.variable[1:]
-        return [Relation(df.where(F.col(self.axis).between(F.lit(self.low), F.lit(self.high))).select(F.col(self.axis).alias(name)).distinct(), frozenset([name]))], []
+        return [Relation(df.select(F.col(self.axis).alias(name)).distinct(), frozenset([name]))], []
+
+
+def comparable(kind: str, *bounds: object) -> bool:
+    """Whether values of a Spark type compare with the bounds as they are."""
+    of = {bool: ("boolean",), str: ("string",), bytes: ("binary",), dt.datetime: ("timestamp",), dt.date: ("date",)}
+    numbers = ("tinyint", "smallint", "int", "bigint", "long", "float", "double", "decimal")
+    return all(kind.startswith(of.get(type(x), numbers if isinstance(x, (int, float, Decimal)) else ())) for x in bounds)
 
 
 # Conditions

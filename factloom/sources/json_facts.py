@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.model import Attribute, FactSet, InPairs, content_id
+from factloom.sources.scratch import stored
 
 FACT = "e string, a string, kind string, text string, number double, flag boolean, root boolean"
 ENCODING = {"text": "text", "number": "float", "flag": "boolean", "id": "id"}
@@ -27,20 +28,28 @@ def finite(text: str) -> float:
     return value
 
 
+def leaves(held: object) -> Iterator[object]:
+    """What a field holds: arrays of any depth give their members."""
+    if isinstance(held, list):
+        for x in held:
+            yield from leaves(x)
+    else:
+        yield held
+
+
 def object_facts(value: dict, salt: bytes, root: bool, out: list[tuple]) -> str:
     """Facts of an object, after those of the objects in it; its id.  null and [] say nothing, arrays repeat."""
     own: set[tuple] = set()
     for field, held in value.items():
-        for v in held if isinstance(held, list) else [held]:
-            for x in v if isinstance(v, list) else [v]:
-                if isinstance(x, dict):
-                    own.add((field, "id", object_facts(x, salt, False, out)))
-                elif isinstance(x, bool):
-                    own.add((field, "flag", x))
-                elif isinstance(x, (int, float)):
-                    own.add((field, "number", finite(x)))
-                elif isinstance(x, str):
-                    own.add((field, "text", x))
+        for x in leaves(held):
+            if isinstance(x, dict):
+                own.add((field, "id", object_facts(x, salt, False, out)))
+            elif isinstance(x, bool):
+                own.add((field, "flag", x))
+            elif isinstance(x, (int, float)):
+                own.add((field, "number", finite(x)))
+            elif isinstance(x, str):
+                own.add((field, "text", x))
     rows = sorted(repr(f).encode() for f in own)
     e = str(content_id(salt, *[len(r).to_bytes(8, "big") + r for r in rows]))
     for field, kind, v in own:
@@ -65,7 +74,8 @@ def import_objects(docs: DataFrame, column: str = "json", salt: bytes = b"") ->
                     object_facts(x, salt, True, out)
             yield pd.DataFrame(out, columns=[f.split()[0] for f in FACT.split(", ")])
 
-    rows = docs.select(column).mapInPandas(parse, FACT)
+    # Parsed once: the facts of each attribute are read from what is written here.
+    rows = stored(docs.select(column).mapInPandas(parse, FACT), "json-facts")
     # Fields and kinds: as many as the documents' schema has.
     fields = rows.select("a", "kind").distinct().collect()
     attributes, data = {}, {}

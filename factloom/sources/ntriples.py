@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.model import Attribute, FactSet, InPairs, content_id
+from factloom.sources.scratch import stored
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 #: Datatypes and their encodings (fixed values of the standard).
@@ -81,7 +82,9 @@ def import_triples(lines: DataFrame) -> Import:
     triples = parse(lines)
     names = F.create_map(*[F.lit(x) for k, e in ENCODING.items() for x in (XSD + k, e)])
     encoding = F.when(F.col("kind") != "literal", "id").when(F.col("lang").isNotNull(), "id").otherwise(F.coalesce(names[F.col("datatype")], F.lit("text")))
-    rows = triples.withColumn("encoding", encoding)
+    # Parsed once: the facts of each attribute are read from what is written here.
+    rows = stored(triples.withColumn("encoding", encoding), "triples")
+    triples = rows.drop("encoding")
     tagged = F.concat(F.col("o"), F.lit("\0"), F.lower("lang"))
     # A schema is small by nature: one row per predicate and encoding.
     schema = rows.select("p", "encoding").distinct().collect()

@@ -11,7 +11,7 @@ from factloom.operators.model import Attribute, FactSet, entity
 from factloom.operators.paths import Automaton, PathIndex, PathSummary, Step, any_but, step
 from factloom.operators.registers import ObservationOrder, StatedOrder, Unordered, sole
 from factloom.operators.search import BM25Index
-from factloom.plans.query import And, Filter, Or, assignments, between, count, exists, find, pattern
+from factloom.plans.query import And, Filter, InRange, Or, assignments, between, count, exists, find, pattern
 from factloom.streaming.incremental import pattern_changes
 
 LINK = [Attribute("link", "id", True), Attribute("name", "short_string"), Attribute("size", "int", True)]
@@ -158,6 +158,14 @@ def test_bm25_repeated_documents_take_the_larger_count(spark):
     assert {r.doc for r in index.matches(["fox"], 0.0).collect()} == {"d", "f"}
 
 
+def test_bm25_index_is_kept_and_opened_again(spark, tmp_path):
+    docs = spark.createDataFrame([("d", "fox den"), ("e", ""), ("f", "the quick brown fox"), ("g", None)], "doc string, text string")
+    built = BM25Index.build(docs, path=f"file://{tmp_path}/index")
+    opened = BM25Index.open(spark, f"file://{tmp_path}/index")
+    assert sorted(map(tuple, opened.query(["fox", "den"]).collect())) == sorted(map(tuple, built.query(["fox", "den"]).collect()))
+    assert {r.doc: r.length for r in opened.lengths.collect()} == {"d": 2, "e": 0, "f": 4, "g": 0}
+
+
 def test_entities_by_content():
     known = {a.name: a for a in LINK}
     one, rows = entity(known, {"name": "x", "size*": [1, 2], "link?": None})
@@ -184,3 +192,33 @@ def test_pushes_conflict_and_merge(spark, tmp_path):
     assert {x.e for x in r.checkout(r.ancestors(r.select(head))).collect()} == {"a", "b"}
     assert [x.id for x in r.time_range(dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)).collect()] == [second]
     assert r.unreachable(r.select(first)).count() == 2
+
+
+def test_commit_ids_tell_sets_apart(spark, tmp_path):
+    """Repeated facts don't cancel, order and repeats don't matter, metafacts do."""
+    r = Repository(spark, f"file://{tmp_path}/repo")
+    when = dt.datetime(2024, 1, 1)
+    rows = lambda *e: spark.createDataFrame([(x, "name", "x") for x in e], "e string, a string, v string")
+    commit = lambda facts, meta=None: r.write_commit(facts, "m", [], created_at=when, metafacts=meta)
+    assert commit(rows("a", "a", "b")) != commit(rows("c", "c", "b"))
+    assert commit(rows("a", "b")) == commit(rows("b", "a", "a"))
+    assert commit(rows("a"), rows("m")) != commit(rows("a"), rows("n")) != commit(rows("a"))
+
+
+def test_failures_of_the_file_system_are_no_conflicts(spark, tmp_path):
+    (tmp_path / "repo" / "branches").mkdir(parents=True)
+    (tmp_path / "repo" / "branches" / "main").write_text("a file where a folder should be")
+    r = Repository(spark, f"file://{tmp_path}/repo")
+    with pytest.raises(Exception) as e:
+        r._set_head("main", 0, None)
+    assert not isinstance(e.value, Conflict)
+
+
+def test_ranges_over_the_whole_set_compare_values_in_their_type(spark):
+    g = facts(spark, [("a", "size", k) for k in range(5, 15)] + [("a", "name", "9"), ("a", "name", "m"), ("b", "link", "x")])
+    found = lambda low, high, axis="v": sorted(r.v for r in find(["?v"], InRange(g, "?v", low, high, axis)).collect())
+    assert found(8, 12) == ["10", "11", "12", "8", "9"]
+    assert found("8", "n") == ["9", "m"]
+    assert found(dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1)) == []
+    assert found("m", "z", "a") == ["name", "size"]
+    assert found("a", "a", "e") == ["a"]

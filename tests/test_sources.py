@@ -82,3 +82,10 @@ def test_stream_asks_each_batch_for_its_delta(spark, tmp_path):
         ask = lambda full, delta: find(["?x", "?z"], pattern_changes(full, delta, ("?x", "link", "?y"), ("?y", "link", "?z")))
         continuous(stream, f"{tmp_path}/store", attributes, ask, lambda df, n: got.__setitem__(n, [tuple(r) for r in df.collect()]), f"{tmp_path}/check").awaitTermination()
     assert got == {0: [], 1: [("a", "c")]}
+
+
+def test_json_arrays_of_any_depth_give_their_members(spark):
+    docs = spark.createDataFrame([('{"a": [[[1, 2]], [[[{"c": "x"}]]], []], "b": 3}',)], "json string")
+    facts, roots = json_facts.import_objects(docs)
+    assert sorted(r.v for r in facts.pairs("a^number").collect()) == [1.0, 2.0]
+    assert facts.pairs("a^id").count() == facts.pairs("c").count() == facts.pairs("b").count() == roots.count() == 1
