@@ -3,10 +3,10 @@
 Seeds are winnowed anchors: of the 18-word grams in a window of 35 words the one
 with the least hash.  Equal windows choose the same anchor, so a window can only
 repeat where its anchor does.  Anchors that occur once are left out by a filter
-of fixed size; around the others the match is extended both ways, one window
-for each start that has the anchor in it, and windows are compared by 96 bits of
-hashes of their whole word sequence.  Runs of repeated windows are the maximal
-repeats; every word in one goes.
+of fixed size; every window that holds another is compared with all others by 96
+bits of hashes of its whole word sequence, which stands for extending matches
+place against place.  Runs of repeated windows are the maximal repeats; every
+word in one goes.
 
 Scale: no pairs are made.  Counts of anchors and of windows are combined before
 they are shuffled, so a passage in a third of all documents is a row per task;
