@@ -2,7 +2,7 @@
 
 The graph's predicates play these parts: ``o_status`` is large with one value an
 order, ``o_line``, ``o_part`` and ``o_supplier`` are large with many values,
-``o_urgent``, ``d_toxic`` and ``r_name`` are small, ``p_size`` is numeric,
+``o_urgent``, ``d_toxic`` and ``r_name`` are small, ``p_size`` and ``c_balance`` are numeric,
 ``c_name``, ``p_name`` and ``d_text`` are texts, and ``o_date`` is a date.
 """
 
@@ -36,6 +36,7 @@ SQL = {
     "o_supplier": "(SELECT DISTINCT l_orderkey AS e, l_suppkey AS v FROM lineitem)",
     "c_nation": "(SELECT c_custkey AS e, c_nationkey AS v FROM customer)",
     "c_name": "(SELECT c_custkey AS e, c_name AS v FROM customer)",
+    "c_balance": "(SELECT c_custkey AS e, c_acctbal AS v FROM customer)",
     "n_region": "(SELECT n_nationkey AS e, n_regionkey AS v FROM nation)",
     "d_text": "(SELECT doc_id AS e, text AS v FROM documents)",
     "d_lang": "(SELECT doc_id AS e, lang AS v FROM documents)",
@@ -224,10 +225,10 @@ for _size, _n in (("tiny", 10), ("small", 1_000), ("medium", 100_000), ("large",
 # 80-89: numbers
 
 whole("numeric-baseline", "p_size", exact_sum, "sum(v)::BIGINT", "sum")
-whole("numeric-abs", "p_size", lambda c: exact_sum(F.abs(c)), "sum(abs(v))::BIGINT", "sum")
-whole("numeric-ceil", "p_size", lambda c: exact_sum(F.ceil(c)), "sum(ceil(v))::BIGINT", "sum")
-whole("numeric-floor", "p_size", lambda c: exact_sum(F.floor(c)), "sum(floor(v))::BIGINT", "sum")
-whole("numeric-round", "p_size", lambda c: exact_sum(F.round(c)), "sum(round(v))::BIGINT", "sum")
+whole("numeric-abs", "c_balance", lambda c: F.sum(F.abs(c).cast("decimal(18,2)")).cast("double"), "sum(abs(v)::DECIMAL(18,2))::DOUBLE", "sum")
+whole("numeric-ceil", "c_balance", lambda c: exact_sum(F.ceil(c)), "sum(ceil(v))::BIGINT", "sum")
+whole("numeric-floor", "c_balance", lambda c: exact_sum(F.floor(c)), "sum(floor(v))::BIGINT", "sum")
+whole("numeric-round", "c_balance", lambda c: exact_sum(F.round(c)), "sum(round(v))::BIGINT", "sum")
 whole("numeric-add", "p_size", lambda c: exact_sum(c + c), "sum(v + v)::BIGINT", "sum")
 whole("numeric-greater", "p_size", lambda c: exact_sum((c > 0).cast("int")), "sum((v > 0)::INT)::BIGINT", "sum")
 for _share, _least in (("fifty-fifty", 25), ("seventy-thirty", 35), ("ninetyfive-five", 48)):
@@ -245,31 +246,50 @@ whole("date-year", "o_date", lambda c: exact_sum(F.year(c)), "sum(year(v))::BIGI
 whole("date-month", "o_date", lambda c: exact_sum(F.month(c)), "sum(month(v))::BIGINT", "sum")
 whole("date-day", "o_date", lambda c: exact_sum(F.day(c)), "sum(day(v))::BIGINT", "sum")
 
-# 96-100: the whole set.  Here it is the customers, nations and regions, whose facts SQL lists column by column.
+# 96-100: the whole set, which SQL lists attribute by attribute.
+
+_REFERENCES = {"n_region": "region", "c_nation": "nation", "s_nation": "nation", "o_customer": "customer", "ev_user": "customer", "o_part": "part", "o_supplier": "supplier", "o_line": "line"}
+_COLUMNS = {
+    ("region", "region", "r_regionkey"): {"r_name": "r_name"},
+    ("nation", "nation", "n_nationkey"): {"n_name": "n_name", "n_region": "n_regionkey"},
+    ("customer", "customer", "c_custkey"): {"c_name": "c_name", "c_nation": "c_nationkey", "c_balance": "c_acctbal", "c_segment": "c_mktsegment"},
+    ("supplier", "supplier", "s_suppkey"): {"s_name": "s_name", "s_nation": "s_nationkey", "s_balance": "s_acctbal"},
+    ("part", "part", "p_partkey"): {"p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type", "p_size": "p_size", "p_price": "p_retailprice"},
+    ("order", "orders", "o_orderkey"): {"o_customer": "o_custkey", "o_status": "o_orderstatus", "o_total": "o_totalprice", "o_date": "o_orderdate", "o_priority": "o_orderpriority", "o_urgent": "CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderstatus END"},
+    ("event", "events", "event_id"): {"ev_user": "user_id", "ev_type": "event_type", "ev_value": "value", "ev_time": "ts", "ev_props": "props"},
+    ("doc", "documents", "doc_id"): {"d_text": "text", "d_lang": "lang", "d_source": "source", "d_chars": "n_chars"},
+    ("doc", "labels", "doc_id"): {"d_quality": "quality", "d_toxic": "toxic"},
+    ("page", "pages", "page_id"): {"pg_url": "url", "pg_html": "html"},
+    ("vec", "embeddings", "vec_id"): {"vec": "embedding", "vec_label": "label"},
+    ("order", SQL["o_part"], "e"): {"o_part": "v"},
+    ("order", SQL["o_supplier"], "e"): {"o_supplier": "v"},
+    ("order", SQL["o_line"], "e"): {"o_line": "v"},
+    ("turn", "(SELECT conv_id || ':' || turn AS e, role AS v FROM conversations)", "e"): {"t_role": "v"},
+}
+
 
-_SMALL = ("r_name", "n_name", "n_region", "c_name", "c_nation", "c_segment")
-_ALL = """(
-  SELECT 'region:' || r_regionkey AS e, 'r_name' AS a, r_name AS v, true AS literal FROM region
-  UNION SELECT 'nation:' || n_nationkey, 'n_name', n_name, true FROM nation
-  UNION SELECT 'nation:' || n_nationkey, 'n_region', 'region:' || n_regionkey, false FROM nation
-  UNION SELECT 'customer:' || c_custkey, 'c_name', c_name, true FROM customer
-  UNION SELECT 'customer:' || c_custkey, 'c_nation', 'nation:' || c_nationkey, false FROM customer
-  UNION SELECT 'customer:' || c_custkey, 'c_segment', c_mktsegment, true FROM customer)"""
+def _listed() -> str:
+    rows = [
+        f"SELECT DISTINCT '{prefix}:' || {key} AS e, '{a}' AS a, {repr(_REFERENCES[a] + ':') + ' || ' if a in _REFERENCES else ''}({column})::VARCHAR AS v, {a not in _REFERENCES} AS literal FROM {source}"
+        for (prefix, source, key), columns in _COLUMNS.items()
+        for a, column in columns.items()
+    ]
+    follows = "SELECT DISTINCT 'turn:' || conv_id || ':' || turn, 't_follows', 'turn:' || conv_id || ':' || (turn - 1), false FROM conversations WHERE turn > 0"
+    return f"(SELECT * FROM ({' UNION ALL '.join([*rows, follows])}) WHERE v IS NOT NULL)"
 
 
-def small(g: FactSet) -> FactSet:
-    return FactSet({n: g.attributes[n] for n in _SMALL}, {n: g.data[n] for n in _SMALL})
+_ALL = _listed()
 
 
 def every(g: FactSet) -> DataFrame:
-    return assignments(pattern(small(g), ("?s", "?p", "?o"))).df
+    return assignments(pattern(g, ("?s", "?p", "?o"))).df
 
 
 register("number-of-triples", f"SELECT count(*) AS count FROM {_ALL}", lambda g: every(g).agg(F.count(F.lit(1)).alias("count")))
 register("number-of-subjects", f"SELECT count(DISTINCT e) AS count FROM {_ALL}", lambda g: every(g).agg(F.countDistinct("s").alias("count")))
 register("number-of-predicates", f"SELECT count(DISTINCT a) AS count FROM {_ALL}", lambda g: every(g).agg(F.countDistinct("p").alias("count")))
 register("number-of-objects", f"SELECT count(DISTINCT v) AS count FROM {_ALL}", lambda g: every(g).agg(F.countDistinct("o").alias("count")))
-register("number-of-literals", f"SELECT count(*) AS count FROM {_ALL} WHERE literal", lambda g: every(g).where(~F.col("p").isin(*[n for n in _SMALL if g.attributes[n].encoding == "id"])).agg(F.count(F.lit(1)).alias("count")))
+register("number-of-literals", f"SELECT count(*) AS count FROM {_ALL} WHERE literal", lambda g: every(g).where(~F.col("p").isin(*[n for n, a in g.attributes.items() if a.encoding == "id"])).agg(F.count(F.lit(1)).alias("count")))
 
 # 101-104: paths
 

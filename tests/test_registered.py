@@ -32,9 +32,9 @@ def test_ngrams_of_whole_texts(spark):
     for r in table(spark, SMALL, "benchmark").collect():
         for w in re.findall(r"[^\W_]+", (r.text or "").lower()):
             expected.update(w[i : i + 3] for i in range(max(len(w) - 2, 1)))
-    assert {r.term: r.n for r in QUERIES["ngram_tokens_whole"](spark, SMALL).collect()} == expected
+    assert {r.term: r.n for r in QUERIES["ngram_tokens"](spark, SMALL).collect()} == expected
 
 
 def test_history_holds_every_order(spark):
-    held = QUERIES["history_whole_checkout_ancestors"](spark, SMALL)
+    held = QUERIES["history_checkout_ancestors"](spark, SMALL)
     assert held.count() == table(spark, SMALL, "orders").select("o_orderkey").distinct().count()
