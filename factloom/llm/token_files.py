@@ -62,7 +62,7 @@ class Encoder:
     """
 
     #: Words remembered; the first half, which holds the frequent ones, outlives a clearing.
-    MOST, LONGEST = 900_000, 64
+    MOST, LONGEST = 700_000, 64
 
     def __init__(self, path: str):
         import json
@@ -79,31 +79,51 @@ class Encoder:
         #: Bytes of each token: its vocabulary entry has a character for each byte.
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
         self.known: dict[str, bytes] = {}
+        #: Ids of punctuation behind a word, and of line feeds with the word behind.
         self.tails: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
+        if self.by_word and hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # words that were met are remembered here
 
-    def _learn(self, words: set[str]) -> None:
-        """Encodes new words, each after a space.  A word that ends in punctuation is two pieces, so its parts are learnt."""
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Encodes new words, each after a space, and gives the ids of those that hold line feeds, which are not remembered.
+
+        A word that ends in punctuation is two pieces, and a single line feed
+        between non-blanks is a piece by itself, so the parts are learnt.
+        """
         known = self.known
+        lines = {w: p for w in words if "\n" in w and len(p := w.split("\n")) == len(w.split()) and all(p)}
+        words = words.difference(lines).union(p[0] for p in lines.values()).difference(known)
         ended = {w: m.groups() for w in words if (m := ENDED(w))}
         stems = {s for s, _ in ended.values()}
-        self._encode(list((words.difference(ended) | stems).difference(known)))
-        tails = list({t for _, t in ended.values()}.difference(self.tails))
-        self.tails.update(zip(tails, [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(tails, add_special_tokens=False)], strict=True))
+        self._encode(list((words.difference(ended) | stems).difference(known)), " ", known)
+        self._encode(list({t for _, t in ended.values()}.difference(self.tails)), None, self.tails)
         for w, (s, t) in ended.items():
             known[w] = known[s] + self.tails[t]
-        if len(self.tails) > 20_000:
-            self.tails.clear()
-
-    def _encode(self, words: list[str]) -> None:
-        """Encodes words as one text, a space before each, and tells them apart by their tokens' bytes."""
+        begun = {x for p in lines.values() for x in p[1:]}
+        self._encode(list(begun.difference(self.lines)), "\n", self.lines)
+        held = {w: known[p[0]] + b"".join(map(self.lines.__getitem__, p[1:])) for w, p in lines.items()}
+        for kept, most in ((self.tails, 20_000), (self.lines, 100_000)):
+            for w in [w for w in begun.union(t for _, t in ended.values()) if len(w) > self.LONGEST]:
+                kept.pop(w, None)
+            if len(kept) > most:
+                kept.clear()
+        held.update((w, known.pop(w)) for w in words | stems if len(w) > self.LONGEST and w in known)
+        return held
+
+    def _encode(self, words: list[str], separator: str | None, memory: dict[str, bytes]) -> None:
+        """Encodes words as one text, a separator before each, and tells them apart by their tokens' bytes; without one, each by itself."""
+        if separator is None:
+            memory.update(zip(words, [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)], strict=True))
+            return
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            ids = np.array(self.library.encode_batch_fast([separator + separator.join(part)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.cumsum([len(w.encode()) + 1 for w in part])
-            stops = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            begin = 0
-            for w, end in zip(part, stops.tolist(), strict=True):
-                self.known[w] = ids[begin:end].tobytes()
+            stops = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(part, stops, strict=True):
+                memory[w] = raw[begin:end]
                 begin = end
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -122,16 +142,23 @@ class Encoder:
         for i, e in zip(whole, encode([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.int32)
         first = [np.array(e.ids, np.int32).tobytes() for e in encode(heads, add_special_tokens=False)]
-        for words in cut.values():
-            words[0] = ""
         self.known[""] = b""
-        new = set().union(*cut.values()).difference(self.known)
-        self._learn(new)
-        for (i, words), head in zip(cut.items(), first, strict=True):
-            out[i] = np.frombuffer(head + b"".join(map(self.known.__getitem__, words)), np.int32)
-        for w in new:
-            if len(w) > self.LONGEST:
-                del self.known[w]
+        found: dict[int, list] = {}
+        missed: dict[int, list[int]] = {}
+        for i, words in cut.items():
+            words[0] = ""
+            found[i] = parts = list(map(self.known.get, words))
+            if None in parts:
+                missed[i] = [k for k, p in enumerate(parts) if p is None]
+        new = {cut[i][k] for i, places in missed.items() for k in places}
+        held = self._learn(new)
+        for i, places in missed.items():
+            words, parts = cut[i], found[i]
+            for k in places:
+                w = words[k]
+                parts[k] = held[w] if w in held else self.known[w]
+        for (i, parts), head in zip(found.items(), first, strict=True):
+            out[i] = np.frombuffer(head + b"".join(parts), np.int32)
         if len(self.known) > self.MOST:
             self.known = dict(itertools.islice(self.known.items(), self.MOST // 2))
         return out
