@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MINOR_DIGITS = {"EUR": 2, "USD": 2, "GBP": 2, "CHF": 2, "JPY": 0, "BTC": 8, "ETH": 18}
 
@@ -71,11 +75,6 @@ def to_minor(c: Column, currency: str) -> Column:
     return F.when(scaled == F.floor(scaled), scaled.cast("decimal(38,0)"))
 
 
-def times_ratio(c: Column, ratio: Column) -> Column:
-    """An amount times a rational (num, den), exactly rounded to 18 places; overflow is an error."""
-    return (c * ratio.getField("num") / ratio.getField("den")).cast("decimal(38,18)")
-
-
 # Rationals: structs of num and den
 
 
@@ -85,13 +84,41 @@ def rational(num: Column, den: Column) -> Column:
     # Euclid's algorithm: 92 steps are enough for any two longs.
     g = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(F.abs(n).alias("a"), F.abs(d).alias("b")), lambda s, _: F.when(s.b == 0, s).otherwise(F.struct(s.b.alias("a"), (s.a % s.b).alias("b")))).getField("a")
     sign = F.when(d < 0, -1).otherwise(1)
-    return F.when(d != 0, F.struct((sign * n / g).cast("decimal(38,0)").alias("num"), (sign * d / g).cast("decimal(38,0)").alias("den")))
+    return F.when(d != 0, F.struct(*((sign * F.call_function("div", k, g)).cast("decimal(38,0)").alias(name) for k, name in ((n, "num"), (d, "den")))))
 
 
 def rational_less(x: Column, y: Column) -> Column:
     return x.getField("num") * y.getField("den") < y.getField("num") * x.getField("den")
 
 
+RATIONAL = T.StructType([T.StructField(n, T.DecimalType(38, 0)) for n in ("num", "den")])
+
+
+def _exactly(operation: Callable[[Fraction, Fraction], Fraction]) -> Callable[[Column, Column], Column]:
+    """An operation of two rationals without rounding; null if either is, an error beyond 38 digits."""
+
+    @F.pandas_udf(RATIONAL)
+    def apply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for a, b, c, d in zip(x["num"], x["den"], y["num"], y["den"], strict=True):
+            if any(pd.isna(k) for k in (a, b, c, d)):
+                rows.append((None, None))
+            else:
+                r = operation(Fraction(int(a), int(b)), Fraction(int(c), int(d)))
+                rows.append((Decimal(r.numerator), Decimal(r.denominator)))
+        return pd.DataFrame(rows, columns=["num", "den"])
+
+    return lambda x, y: F.when(x.isNotNull() & y.isNotNull(), apply(x, y))
+
+
+#: Exact arithmetic of amounts and rates as rationals: a rate applies without rounding.
+plus, minus, times = (_exactly(o) for o in (Fraction.__add__, Fraction.__sub__, Fraction.__mul__))
+
+
+def negated(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.struct((-x.getField("num")).cast("decimal(38,0)").alias("num"), x.getField("den").alias("den")))
+
+
 # Formatters
 
 

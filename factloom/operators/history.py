@@ -160,6 +160,8 @@ class Repository:
                 further = further.join(known, "id", "left_anti")
             newest = stored(further, "walk")
             rounds.append(newest)
+            if len(rounds) > 16:
+                rounds = [stored(reduce(DataFrame.unionByName, rounds), "walked")]
         return reduce(DataFrame.unionByName, rounds)
 
     def ancestors(self, selection: DataFrame) -> DataFrame:

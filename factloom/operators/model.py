@@ -232,6 +232,25 @@ class FactSet:
         rows = [(a.id, k, v) for a in self.attributes.values() for k, v in (("name", a.name), ("value_encoding", a.encoding), ("tag", "multi" if a.multi else "single"), ("description", a.description)) if v]
         return spark.createDataFrame(rows, "e string, a string, v string")
 
+    # Ordered reads
+
+    def domain(self, a: str, axis: str = "v", low: object = None, high: object = None) -> DataFrame:
+        """The distinct entities (``e``) or values (``v``) of an attribute, within inclusive bounds if given, each with its number of facts ``n``."""
+        c = F.col(axis)
+        within = F.lit(True)
+        for bound, holds in ((low, c.__ge__), (high, c.__le__)):
+            if bound is not None:
+                within = within & holds(F.lit(bound))
+        return self.pairs(a).where(within).groupBy(axis).agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(self, a: str, length: int, start: str = "", axis: str = "v") -> DataFrame:
+        """The distinct beginnings of ``length`` characters among texts that begin with ``start``, each with its number of distinct texts ``n``."""
+        held = self.pairs(a).select(axis).where(F.startswith(F.col(axis), F.lit(start))).distinct()
+        return held.groupBy(F.substring(axis, 1, length).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+    def has_prefix(self, a: str, start: str, axis: str = "v") -> bool:
+        return not self.pairs(a).where(F.startswith(F.col(axis), F.lit(start))).limit(1).isEmpty()
+
     # Set algebra
 
     def _both(self, other: FactSet) -> dict[str, Attribute]:

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.model import content_id
 from factloom.sources.scratch import stored
 
 
@@ -171,6 +172,31 @@ class PathIndex:
         automaton = expression if isinstance(expression, Automaton) else expression.compile()
         return PathIndex(reduce(PathSummary.merge, (PathSummary.of(automaton, e) for e in edges)))
 
+    @property
+    def fingerprint(self) -> str:
+        """What the automaton and the source's arcs and vertices are told apart by."""
+        a = self.summary.automaton
+        said = (a.states, sorted(a.initial), sorted(a.accepting), sorted(map(repr, a.transitions)))
+        sums = [df.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(38,0)")) for seed in (1, 2))).first() for df in (self.summary.arcs, self.summary.vertices)]
+        return str(content_id(repr((said, *map(tuple, sums))).encode()))
+
+    @staticmethod
+    def ensure(path: str, expression: Expr | Automaton, *edges: DataFrame) -> PathIndex:
+        """The index kept under ``path`` for just these edges and this expression; it is closed and written if there is none."""
+        if not edges:
+            raise ValueError("no edges to index")
+        automaton = expression if isinstance(expression, Automaton) else expression.compile()
+        index = PathIndex.__new__(PathIndex)
+        index.summary = reduce(PathSummary.merge, (PathSummary.of(automaton, e) for e in edges))
+        at = f"{path}/{index.fingerprint}"
+        spark = edges[0].sparkSession
+        jvm = spark._jvm
+        done = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            index.summary.pairs().sortWithinPartitions("start", "end").write.mode("overwrite").parquet(at)
+        index.accepted = spark.read.schema("start string, end string").parquet(at)
+        return index
+
     def contains(self, start: str, end: str) -> bool:
         return not self.accepted.where((F.col("start") == start) & (F.col("end") == end)).limit(1).isEmpty()
 

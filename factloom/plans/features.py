@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text, values
 from factloom.operators import search
+from factloom.operators.collection import Collection
 from factloom.operators.history import Repository
-from factloom.operators.model import FactSet, reference
+from factloom.operators.model import FactSet, content_id, reference
 from factloom.operators.paths import PathIndex, PathSummary, any_but, step
 from factloom.operators.registers import ObservationOrder, StatedOrder, sole_by_register
 from factloom.plans.graph import nation_cycle, table, tables_as_facts
@@ -414,6 +415,87 @@ def phrase_bigrams(spark, d):
     return pairs.groupBy(F.replace("bigram", F.lit("\0"), F.lit(" ")).alias("bigram")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Reads in order, kept indexes, collections
+
+
+@asks("SELECT 'nation:' || n_nationkey AS e, a, v FROM (SELECT n_nationkey, 'n_name' AS a, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'n_region', 'region:' || n_regionkey FROM nation)")
+def scan_ordered(spark, d):
+    g = tables_as_facts(spark, d)
+    return FactSet({n: g.attributes[n] for n in ("n_name", "n_region")}, {n: g.data[n] for n in ("n_name", "n_region")}).ordered()
+
+
+@asks("SELECT p_size::BIGINT AS v, count(*) AS n FROM part WHERE p_size BETWEEN 10 AND 20 GROUP BY 1")
+def domain_within_bounds(spark, d):
+    return tables_as_facts(spark, d).domain("p_size", low=10, high=20)
+
+
+@asks("SELECT 'order:' || l_orderkey AS e, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
+def domain_of_entities(spark, d):
+    return tables_as_facts(spark, d).domain("o_part", "e")
+
+
+@asks("SELECT left(v, 6) AS prefix, count(*) AS n FROM (SELECT DISTINCT p_type AS v FROM part WHERE starts_with(p_type, 'S')) GROUP BY 1")
+def prefixes_of_values(spark, d):
+    return tables_as_facts(spark, d).prefixes("p_type", 6, "S")
+
+
+@asks("SELECT DISTINCT 'turn:' || a.conv_id || ':' || a.turn AS start, 'turn:' || a.conv_id || ':' || b.turn AS end FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn")
+def path_index_kept(spark, d):
+    edges = tables_as_facts(spark, d).pairs("t_follows").select(F.col("e").alias("src"), F.lit("follows").alias("label"), F.col("v").alias("dst"))
+    path = scratch_path(spark, "paths")
+    PathIndex.ensure(path, step("follows").plus(), edges)
+    return PathIndex.ensure(path, step("follows").plus(), edges).accepted
+
+
+def _collected(spark, d):
+    """The orders' statuses in two members that share those of status O."""
+    c = Collection(spark, scratch_path(spark, "collection"))
+    orders = table(spark, d, "orders").select(reference("order", "o_orderkey").alias("e"), F.lit("o_status").alias("a"), F.col("o_orderstatus").alias("v"))
+    return c, [c.commit(orders.where(F.col("v") != left)) for left in ("F", "P")]
+
+
+@asks("SELECT 'order:' || o_orderkey AS e, 'o_status' AS a, o_orderstatus AS v FROM orders")
+def collection_snapshot(spark, d):
+    return _collected(spark, d)[0].snapshot()
+
+
+@asks("SELECT 'order:' || o_orderkey AS e, 'o_status' AS a, o_orderstatus AS v FROM orders WHERE o_orderstatus <> 'P'")
+def collection_materialized(spark, d):
+    c, tickets = _collected(spark, d)
+    return c.materialize(scratch_path(spark, "materialized"), tickets[1])
+
+
+@asks("SELECT DISTINCT o_orderstatus AS status, right(o_orderkey::VARCHAR, 1) AS digit FROM orders")
+def collection_derived(spark, d):
+    c, _ = _collected(spark, d)
+    return c.derived("digits", lambda f: f.select(F.col("v").alias("status"), F.right("e", F.lit(1)).alias("digit")).distinct(), verify=True)
+
+
+_WORDS = "list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\f\\r]+'), lambda w: translate(regexp_replace(w, '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]'))"
+
+
+@asks(f"SELECT DISTINCT doc_id AS doc FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE list_contains(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), 'of the')")
+def phrase_search(spark, d):
+    return search.BM25Index.build(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), text.bigrams(F.col("text"))).matches(["of\0the"])
+
+
+@asks(_BM25 + "SELECT doc_id AS doc, source, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS cosine FROM scored JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id WHERE score >= 0.1 AND list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) >= 0.0")
+def hybrid_search(spark, d):
+    """Words, a vector and a pattern at once: documents that score, whose vector is close, with their source."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    close = search.similar_to(vectors, vectors.where("id = 0").first().vector, 0.0)
+    hits = _bm25(spark, d).matches(_TERMS, 0.1)
+    both = hits.join(close, F.col("doc") == F.col("id")).select(reference("doc", "doc").alias("x"), "doc", F.round("score", 6).alias("cosine"))
+    return find(["?doc", "?source", "?cosine"], And(Source(["?x", "?doc", "?cosine"], lambda: both, True), pattern(tables_as_facts(spark, d), ("?x", "d_source", "?source"))))
+
+
+@asks(_BM25 + "SELECT doc_id AS doc, round(score, 6) AS score FROM scored")
+def bm25_merged(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    halves = [search.BM25Index.build(docs.where(F.pmod("doc", F.lit(2)) == k)) for k in (0, 1)]
+    return halves[0].merge(halves[1]).query(_TERMS).select("doc", F.round("score", 6).alias("score"))
+
+
 # Increments
 
 _CUT = dt.datetime(2001, 1, 1)
@@ -512,3 +594,17 @@ def money_minor_units(spark, d):
 def rational_lowest_terms(spark, d):
     r = values.rational(F.col("p_size"), F.lit(12))
     return table(spark, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", F.col("r.num").cast("bigint").alias("num"), F.col("r.den").cast("bigint").alias("den"))
+
+
+@asks("SELECT o_orderkey, (c * 119 // gcd(c * 119, 10000))::BIGINT AS num, (10000 // gcd(c * 119, 10000))::BIGINT AS den FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders)")
+def money_with_exact_rate(spark, d):
+    """A price and 19 % of it, without rounding."""
+    net = values.rational(F.round(F.col("o_totalprice") * 100).cast("bigint"), F.lit(100))
+    gross = values.plus(net, values.times(net, values.rational(F.lit(19), F.lit(100))))
+    return table(spark, d, "orders").select("o_orderkey", gross.alias("r")).select("o_orderkey", F.col("r.num").cast("bigint").alias("num"), F.col("r.den").cast("bigint").alias("den"))
+
+
+@asks("SELECT h AS id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS uuid, h AS back FROM (SELECT right(sha256(text), 32) AS h FROM benchmark)")
+def ids_as_uuids(spark, d):
+    ids = table(spark, d, "benchmark").select(content_id(F.col("text").cast("binary")).alias("id")).where(values.is_id(F.col("id")))
+    return ids.select("id", values.as_uuid(F.col("id")).alias("uuid"), values.from_uuid(values.as_uuid(F.col("id"))).alias("back"))

@@ -5,7 +5,10 @@ import datetime as dt
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from factloom.functions import values
+from factloom.operators.collection import Collection
 from factloom.operators.history import Conflict, Repository
 from factloom.operators.model import Attribute, FactSet, entity
 from factloom.operators.paths import Automaton, PathIndex, PathSummary, Step, any_but, step
@@ -222,3 +225,62 @@ def test_ranges_over_the_whole_set_compare_values_in_their_type(spark):
     assert found(dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1)) == []
     assert found("m", "z", "a") == ["name", "size"]
     assert found("a", "a", "e") == ["a"]
+
+
+def test_collections_hold_each_fact_once_and_derive_by_member(spark, tmp_path):
+    c = Collection(spark, f"file://{tmp_path}/collection")
+    rows = lambda *e: spark.createDataFrame([(x, "name", x) for x in e], "e string, a string, v string")
+    held = lambda df: sorted(r.e for r in df.collect())
+    assert c.tickets() == [] and held(c.snapshot()) == []
+    one, two = c.commit(rows("a", "b", "b")), c.commit(rows("b", "c"))
+    assert c.commit(rows("b", "a")) == one != two and len(c.tickets()) == 2
+    assert held(c.snapshot()) == ["a", "b", "c"] and held(c.snapshot(two)) == ["b", "c"]
+    assert held(c.materialize(f"file://{tmp_path}/whole")) == ["a", "b", "c"]
+    later = lambda f: f.where("e > 'a'").select("e")
+    assert held(c.derived("later", later, verify=True)) == ["b", "c"]
+    c.commit(rows("d"))
+    assert held(c.derived("later", later, verify=True)) == ["b", "c", "d"]
+    with pytest.raises(ValueError):
+        c.derived("numbers", lambda f: f.groupBy().count(), verify=True)
+    with pytest.raises(KeyError):
+        c.snapshot("nothing")
+
+
+def test_kept_path_indexes_follow_their_edges(spark, tmp_path):
+    df = spark.createDataFrame([("u", "a", "v"), ("v", "a", "w")], "src string, label string, dst string")
+    path = f"file://{tmp_path}/paths"
+    ensure = lambda expression, edges: PathIndex.ensure(path, expression, edges)
+    first = ensure(step("a").plus(), df)
+    assert first.contains("u", "w") and ensure(step("a").plus(), df.orderBy("dst")).fingerprint == first.fingerprint
+    assert not ensure(step("a").plus(), df.where("src = 'u'")).contains("u", "w")
+    assert not ensure(step("a"), df).contains("u", "w")
+    assert len([p for p in (tmp_path / "paths").iterdir()]) == 3
+
+
+def test_rationals_are_exact(spark):
+    r = lambda a, b: values.rational(F.lit(a), F.lit(b))
+    pair = lambda c: c.cast("struct<num:bigint,den:bigint>")
+    none = F.lit(None).cast("struct<num:decimal(38,0),den:decimal(38,0)>")
+    row = spark.range(1).select(pair(values.plus(r(1, 3), r(1, 6))), pair(values.minus(r(1, 3), r(1, 2))), pair(values.times(r(2, 3), r(9, 4))), pair(values.negated(r(2, 3))), values.plus(r(1, 3), none)).first()
+    assert [None if c is None else tuple(c) for c in row] == [(1, 2), (-1, 6), (3, 2), (-2, 3), None]
+    big = F.lit(2**62)
+    square = values.times(values.rational(big, F.lit(1)), values.rational(big, F.lit(1)))
+    assert spark.range(1).select(square.getField("num").cast("string")).first()[0] == str(2**124)
+    with pytest.raises(Exception, match="(?i)precision|decimal"):
+        spark.range(1).select(values.times(square, square)).collect()
+
+
+def test_domains_and_prefixes(spark):
+    g = facts(spark, [("a", "size", 1), ("b", "size", 1), ("c", "size", 7), ("a", "name", "ab"), ("b", "name", "ac"), ("c", "name", "b")])
+    assert {(r.v, r.n) for r in g.domain("size").collect()} == {(1, 2), (7, 1)}
+    assert [r.v for r in g.domain("size", low=2).collect()] == [7]
+    assert {r.e for r in g.domain("size", "e", high="b").collect()} == {"a", "b"}
+    assert {(r.prefix, r.n) for r in g.prefixes("name", 1).collect()} == {("a", 2), ("b", 1)}
+    assert g.has_prefix("name", "a") and not g.has_prefix("name", "x")
+
+
+def test_ancestors_of_a_long_chain(spark, tmp_path):
+    r = Repository(spark, f"file://{tmp_path}/repo")
+    ids = [f"{k:02}" for k in range(24)]
+    spark.createDataFrame(list(zip(ids[1:], ids)), "id string, parent string").write.parquet(f"file://{tmp_path}/repo/parents")
+    assert sorted(x.id for x in r.ancestors(r.select("20")).collect()) == ids[:21]
