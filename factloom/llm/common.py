@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from factloom.sources.scratch import scratch_path, shared_dir
 #: A word of the query contracts: a run of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "batch_word_hashes", "discard", "distinct", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "rows_where", "scratch_path", "shared_dir", "small_batches", "stored", "text_or_empty", "with_row_ids"]
+__all__ = ["WORD", "batch_word_hashes", "discard", "distinct", "driver_gives_back", "fixed_filter", "gram_hashes", "mapped", "mixed", "passes", "rows_where", "scratch_path", "shared_dir", "small_batches", "stored", "text_or_empty", "with_row_ids"]
 
 
 #: Bytes of an Arrow batch between the JVM and Python while a table is written.
@@ -40,7 +42,9 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, with Arrow batches of few bytes on the way."""
     with small_batches(df.sparkSession):
-        return scratch.stored(df, name)
+        out = scratch.stored(df, name)
+    driver_gives_back(df.sparkSession)
+    return out
 
 
 def discard(df: DataFrame) -> None:
@@ -78,6 +82,33 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: The driver gives memory back at most every so many times the time that this takes; the earliest next time.
+PAUSE = 50
+_next_give_back = 0.0
+
+
+def driver_gives_back(spark: SparkSession) -> None:
+    """The same for the driver, both its Python and its JVM: garbage of earlier steps, and what the C library keeps of their planning and compiling.
+
+    A JVM that cannot return the latter (before 17.0.9, or without glibc) only collects garbage.
+    """
+    global _next_give_back
+    began = time.monotonic()
+    if began < _next_give_back:
+        return
+    give_back()
+    jvm = spark._jvm
+    jvm.System.gc()
+    call = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # Through the interface, as the server's own class is not open to reflection.
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    with suppress(Py4JError):
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    ended = time.monotonic()
+    _next_give_back = ended + PAUSE * (ended - began)
+
+
 def mapped(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str, raw: tuple[str, ...] = ()) -> DataFrame:
     """``df`` through ``rows``, which turns dicts of column lists into dicts of column lists.
 
