@@ -11,7 +11,8 @@ word in one goes.
 Scale: no pairs are made.  Counts of anchors and of windows are combined before
 they are shuffled, so a passage in a third of all documents is a row per task;
 the join that brings counts back to windows reads a stored table with one row a
-key on one side, so Spark can split a hot key of the other.
+key on one side, so Spark can split a hot key of the other.  Texts are shuffled
+only where a filter of fixed size says that they may have repeats.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .common import batch_word_hashes, fixed_filter, gram_hashes, mapped, mixed,
 
 #: Words of a window (the least length of a repeat).
 WINDOW = 35
+#: Type of the repeats of a text.
+REPEATS = "repeats array<struct<start: int, end: int>>"
 
 
 def gram_size(window: int) -> int:
@@ -77,7 +81,7 @@ def anchor_counts(texts: DataFrame, window: int) -> DataFrame:
     return mapped(texts.select("body"), rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def seeded_windows(texts: DataFrame, window: int, seeds, repeats=None) -> DataFrame:
+def seeded_windows(texts: DataFrame, window: int, seeds, known=None) -> DataFrame:
     """rid, at, low, high: the windows that hold a repeated anchor and may be repeated themselves, their place and hashes."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -87,9 +91,9 @@ def seeded_windows(texts: DataFrame, window: int, seeds, repeats=None) -> DataFr
                 continue
             chosen = np.flatnonzero(passes(seeds.value, batch.anchor))
             low = batch.window_hashes(window, chosen)
-            if repeats is not None:
-                known = passes(repeats.value, low)
-                chosen, low = chosen[known], low[known]
+            if known is not None:
+                may = passes(known.value, low)
+                chosen, low = chosen[may], low[may]
             if len(chosen):
                 row = batch.row[chosen]
                 yield {
@@ -102,17 +106,48 @@ def seeded_windows(texts: DataFrame, window: int, seeds, repeats=None) -> DataFr
     return mapped(texts, rows, "rid long, at int, low long, high int")
 
 
-def repeated_places(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """rid, starts: the starts of all repeated windows of a text, for texts that have any."""
+def merged(starts: list[int], window: int) -> list[dict]:
+    """The runs of words that the windows at ``starts`` cover: maximal, as start and end."""
+    at = np.sort(np.array(starts, np.int64))
+    gaps = np.flatnonzero(at[1:] > at[:-1] + window)
+    return [{"start": s, "end": e + window} for s, e in zip(at[np.concatenate(([0], gaps + 1))].tolist(), at[np.concatenate((gaps, [-1]))].tolist(), strict=True)]
+
+
+def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """rid, repeats: the maximal repeats of a text as start and end in words, for texts that have any; stored."""
     context = texts.sparkSession.sparkContext
     anchors = stored(anchor_counts(texts, window).where("n >= 2").select("anchor"), "repeated-anchors")
     seeds = context.broadcast(fixed_filter(anchors))
     windows = seeded_windows(texts, window, seeds)
     # Stored, so that both sides of the join are plain and a hot window can be split.
     repeated = stored(windows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("low", "high"), "repeated-windows")
-    repeats = context.broadcast(fixed_filter(repeated.select("low")))
-    hits = seeded_windows(texts, window, seeds, repeats).join(repeated, ["low", "high"])
-    return hits.groupBy("rid").agg(F.collect_list("at").alias("starts"))
+    known = context.broadcast(fixed_filter(repeated.select("low")))
+    places = seeded_windows(texts, window, seeds, known).join(repeated, ["low", "high"]).groupBy("rid").agg(F.collect_list("at").alias("starts"))
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"rid": b["rid"], "repeats": [merged(starts, window) for starts in b["starts"]]}
+
+    return stored(mapped(places, rows, f"rid long, {REPEATS}"), "repeats")
+
+
+def cut(bodies: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and repeats of rows with doc_id, body and repeats (null: none)."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out = {k: [] for k in ("n_words", "n_removed", "kept_text", "repeats")}
+            for text, runs in zip(b["body"], b["repeats"], strict=True):
+                words, runs = text.encode().split(), runs or []
+                edges = [0, *(e for run in runs for e in (run["start"], run["end"])), len(words)]
+                kept = [w for s, e in zip(edges[::2], edges[1::2], strict=True) for w in words[s:e]]
+                out["n_words"].append(len(words))
+                out["n_removed"].append(len(words) - len(kept))
+                out["kept_text"].append(b" ".join(kept).decode())
+                out["repeats"].append(runs)
+            yield {"doc_id": b["doc_id"], **out}
+
+    return mapped(bodies, rows, f"doc_id long, n_words long, n_removed long, kept_text string, {REPEATS}")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -127,30 +162,26 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     table gives no rows.
     """
     own, odd = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body")))
-    texts = own.withColumn("rid", F.col("doc_id"))
+    texts = own.withColumn("rid", F.col("doc_id")).select("rid", "doc_id", "body")
     if odd is not None:
         texts = texts.unionByName(odd.withColumnRenamed("row_id", "rid"))
-    places = repeated_places(texts.select("rid", "body"), window)
+    found = repeats(texts.select("rid", "body"), window)
+    holders = texts.sparkSession.sparkContext.broadcast(fixed_filter(found.select("rid")))
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_text", "repeats")}
-            for doc_id, text, starts in zip(b["doc_id"], b["body"], b["starts"], strict=True):
-                words = text.encode().split()
-                covered = np.zeros(len(words) + 1, np.int32)
-                if starts:
-                    np.add.at(covered, starts, 1)
-                    np.add.at(covered, np.array(starts) + window, -1)
-                gone = np.cumsum(covered[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                out["doc_id"].append(doc_id)
-                out["n_words"].append(len(words))
-                out["n_removed"].append(int(gone.sum()))
-                out["kept_text"].append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if starts else words).decode())
-                out["repeats"].append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
-            yield out
+    def part(held: bool) -> DataFrame:
+        """The rows that may have repeats, or those that have none for certain."""
+
+        def rows(batches: Iterator[dict]) -> Iterator[dict]:
+            for b in batches:
+                chosen = pa.array(passes(holders.value, b["rid"].to_numpy().view(np.uint64)) == held)
+                yield {k: column.filter(chosen) for k, column in b.items()}
+
+        return mapped(texts, rows, "rid long, doc_id long, body string", raw=("rid", "doc_id", "body"))
 
-    return mapped(texts.join(places, "rid", "left").select("doc_id", "body", "starts"), rows, "doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<start: int, end: int>>")
+    # Only texts that may have repeats are shuffled, by a merge join at any size, so that what it moves follows the input.
+    joined = part(True).join(found.hint("merge"), "rid", "left").select("doc_id", "body", "repeats")
+    plain = part(False).select("doc_id", "body", F.lit(None).cast(found.schema["repeats"].dataType).alias("repeats"))
+    return cut(joined).unionByName(cut(plain))
 
 
 ORACLE_SQL = r"""

@@ -519,6 +519,27 @@ def test_substring_dedup(spark, docs, empty, window):
     assert substring_dedup.substring_dedup(empty, window).count() == 0
 
 
+def shuffled_bytes(spark):
+    """What all stages so far have written to shuffles."""
+    jvm, context = spark._jvm, spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_substring_dedup_moves_no_text_without_repeats(spark):
+    rnd = random.Random(9)
+    rows = [(k, " ".join(f"{rnd.getrandbits(200):050x}" for _ in range(80))) for k in range(600)]
+    rows += [(1000 + k, f"{k} {rows[0][1]} {k}") for k in range(3)] + [(None, rows[1][1]), (2, rows[2][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = common.stored(df, "texts")
+    before = shuffled_bytes(spark)
+    found = got(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_text")
+    moved = shuffled_bytes(spark) - before
+    assert found == brute_removed(rows, 35)
+    assert moved < 0.25 * sum(len(t) for _, t in rows)
+
+
 # 10
 
 
