@@ -2,17 +2,19 @@
 
 Seeds are winnowed anchors: of the 18-word grams in a window of 35 words the one
 with the least hash.  Equal windows choose the same anchor, so a window can only
-repeat where its anchor does.  Anchors that occur once are left out by a filter
-of fixed size; every window that holds another is compared with all others by 96
-bits of hashes of its whole word sequence, which stands for extending matches
-place against place.  Runs of repeated windows are the maximal repeats; every
-word in one goes.
+repeat where its anchor does.  The windows that choose one place follow each
+other; they are its stretch.  Where all places of a repeated anchor have the same
+stretch, all its windows are repeated.  Where stretches differ, every window of
+each is compared with all others.  Stretches are compared by 64 bits of a hash
+beside those of the anchor, windows by 96 bits of hashes of their whole word
+sequence; that stands for extending matches place against place.  Runs of
+repeated windows are the maximal repeats; every word in one goes.
 
 Scale: no pairs are made.  Counts of anchors and of windows are combined before
 they are shuffled, so a passage in a third of all documents is a row per task;
-the join that brings counts back to windows reads a stored table with one row a
-key on one side, so Spark can split a hot key of the other.  Texts are shuffled
-only where a filter of fixed size says that they may have repeats.
+the join that brings counts back to stretches and windows reads a stored table
+with one row a key on one side, so Spark can split a hot key of the other.  Texts
+are shuffled only where a filter of fixed size says that they may have repeats.
 """
 
 from __future__ import annotations
@@ -60,73 +62,89 @@ class Batch:
         if len(self.starts):
             grams = gram_hashes(words, size)
             at = least_positions(grams, window - size + 1)[self.starts]
-            self.anchor_at, self.anchor = at, grams[at]
-            self.words = words
+            self.anchor = grams[at]
+            self.hashes = gram_hashes(words, window)[self.starts]
+            # The stretches: first window, number of windows, and a hash of all their words, which the outer windows cover.
+            self.first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            self.length = np.diff(np.append(self.first, len(at)))
+            outer = mixed(self.hashes[self.first] + self.length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.first + self.length - 1]
+            self.stretch = mixed(outer).view(np.int64)
 
-    def window_hashes(self, window: int, chosen: np.ndarray) -> np.ndarray:
-        return gram_hashes(self.words, window)[self.starts[chosen]]
+
+def upper(hashes: np.ndarray) -> np.ndarray:
+    """The upper 32 bits, with their sign."""
+    return (hashes.view(np.int64) >> 32).astype(np.int32)
 
 
 def anchor_counts(texts: DataFrame, window: int) -> DataFrame:
-    """anchor, n: how many places chose each anchor."""
+    """anchor, n, least, greatest: how many places chose each anchor, and the outer hashes of their stretches."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             batch = Batch(b["body"], window)
             if len(batch.starts):
-                _, first = np.unique(batch.anchor_at, return_index=True)
-                anchors, n = np.unique(batch.anchor[first], return_counts=True)
-                yield {"anchor": anchors.view(np.int64), "n": n}
+                anchor, stretch = batch.anchor[batch.first], batch.stretch
+                order = np.lexsort((stretch, anchor))
+                anchor, stretch = anchor[order], stretch[order]
+                at = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+                n = np.diff(np.append(at, len(anchor)))
+                yield {"anchor": anchor[at].view(np.int64), "n": n, "least": stretch[at], "greatest": stretch[at + n - 1]}
+
+    found = mapped(texts.select("body"), rows, "anchor long, n long, least long, greatest long")
+    return found.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
 
-    return mapped(texts.select("body"), rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
+def sequences(texts: DataFrame, window: int, opened, known=None) -> DataFrame:
+    """rid, run, low, high: windows whose anchor has stretches that differ, as runs of one, and their hashes.
 
-def seeded_windows(texts: DataFrame, window: int, seeds, known=None) -> DataFrame:
-    """rid, at, low, high: the windows that hold a repeated anchor and may be repeated themselves, their place and hashes."""
+    With ``known`` only those that may be repeated, and the stretches that may
+    be.  A run is its first window's place (upper 32 bits) and its windows.
+    """
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             batch = Batch(b["body"], window)
             if not len(batch.starts):
                 continue
-            chosen = np.flatnonzero(passes(seeds.value, batch.anchor))
-            low = batch.window_hashes(window, chosen)
+            chosen = np.flatnonzero(passes(opened.value, batch.anchor))
+            low, high, n = batch.hashes[chosen], upper(mixed(batch.anchor[chosen])), np.ones(len(chosen), np.int64)
             if known is not None:
+                chosen = np.concatenate((chosen, batch.first))
+                low, high, n = np.concatenate((low, batch.anchor[batch.first])), np.concatenate((high, upper(batch.stretch))), np.concatenate((n, batch.length))
                 may = passes(known.value, low)
-                chosen, low = chosen[may], low[may]
+                chosen, low, high, n = chosen[may], low[may], high[may], n[may]
             if len(chosen):
                 row = batch.row[chosen]
-                yield {
-                    "rid": np.array(b["rid"], np.int64)[row],
-                    "at": (batch.starts[chosen] - batch.bounds[row]).astype(np.int32),
-                    "low": low.view(np.int64),
-                    "high": (mixed(batch.anchor[chosen]) >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                }
+                at = batch.starts[chosen] - batch.bounds[row]
+                yield {"rid": np.array(b["rid"], np.int64)[row], "run": at << 32 | n, "low": low.view(np.int64), "high": high}
 
-    return mapped(texts, rows, "rid long, at int, low long, high int")
+    return mapped(texts, rows, "rid long, run long, low long, high int")
 
 
-def merged(starts: list[int], window: int) -> list[dict]:
-    """The runs of words that the windows at ``starts`` cover: maximal, as start and end."""
-    at = np.sort(np.array(starts, np.int64))
-    gaps = np.flatnonzero(at[1:] > at[:-1] + window)
-    return [{"start": s, "end": e + window} for s, e in zip(at[np.concatenate(([0], gaps + 1))].tolist(), at[np.concatenate((gaps, [-1]))].tolist(), strict=True)]
+def merged(runs: list[int], window: int) -> list[dict]:
+    """The runs of words that the windows of ``runs`` cover: maximal, as start and end."""
+    at = np.sort(np.array(runs, np.int64))
+    starts = at >> 32
+    ends = np.maximum.accumulate(starts + (at & 0xFFFFFFFF) - 1 + window)
+    gaps = np.flatnonzero(starts[1:] > ends[:-1])
+    return [{"start": s, "end": e} for s, e in zip(starts[np.concatenate(([0], gaps + 1))].tolist(), ends[np.concatenate((gaps, [-1]))].tolist(), strict=True)]
 
 
 def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """rid, repeats: the maximal repeats of a text as start and end in words, for texts that have any; stored."""
     context = texts.sparkSession.sparkContext
-    anchors = stored(anchor_counts(texts, window).where("n >= 2").select("anchor"), "repeated-anchors")
-    seeds = context.broadcast(fixed_filter(anchors))
-    windows = seeded_windows(texts, window, seeds)
-    # Stored, so that both sides of the join are plain and a hot window can be split.
-    repeated = stored(windows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("low", "high"), "repeated-windows")
+    anchors = stored(anchor_counts(texts, window).where("n >= 2").select("anchor", "least", "greatest"), "repeated-anchors")
+    opened = context.broadcast(fixed_filter(anchors.where("least <> greatest").select("anchor")))
+    windows = sequences(texts, window, opened).groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("low", "high")
+    stretches = anchors.where("least = greatest").select(F.col("anchor").alias("low"), F.shiftright("least", 32).cast("int").alias("high"))
+    # Stored, so that both sides of the join are plain and a hot key can be split.
+    repeated = stored(windows.unionByName(stretches), "repeated-sequences")
     known = context.broadcast(fixed_filter(repeated.select("low")))
-    places = seeded_windows(texts, window, seeds, known).join(repeated, ["low", "high"]).groupBy("rid").agg(F.collect_list("at").alias("starts"))
+    places = sequences(texts, window, opened, known).join(repeated, ["low", "high"]).groupBy("rid").agg(F.collect_list("run").alias("runs"))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"rid": b["rid"], "repeats": [merged(starts, window) for starts in b["starts"]]}
+            yield {"rid": b["rid"], "repeats": [merged(runs, window) for runs in b["runs"]]}
 
     return stored(mapped(places, rows, f"rid long, {REPEATS}"), "repeats")
 

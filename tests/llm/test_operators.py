@@ -527,6 +527,22 @@ def shuffled_bytes(spark):
     return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
 
 
+def test_substring_dedup_compares_copies_by_stretches(spark):
+    rnd = random.Random(10)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(30, 400))) for _ in range(200)]
+    rows = [(1000 * copy + k, t) for copy in range(2) for k, t in enumerate(texts)]
+    # Parts of copies, so that stretches are cut at either side, and copies with other words in between.
+    rows += [(5000 + k, " ".join(t.split()[9 + k % 7 : 200])) for k, t in enumerate(texts[:30])]
+    rows += [(6000 + k, " ".join("x" if j % 97 == k else w for j, w in enumerate(t.split()))) for k, t in enumerate(texts[30:60])]
+    df = common.stored(spark.createDataFrame(rows, "doc_id long, text string"), "texts")
+    before = shuffled_bytes(spark)
+    found = got(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_text")
+    moved = shuffled_bytes(spark) - before
+    assert found == brute_removed(rows, 35)
+    # A row for each window of a text would be more.
+    assert moved < 2 * sum(len(t) for _, t in rows)
+
+
 def test_substring_dedup_moves_no_text_without_repeats(spark):
     rnd = random.Random(9)
     rows = [(k, " ".join(f"{rnd.getrandbits(200):050x}" for _ in range(80))) for k in range(600)]
