@@ -448,6 +448,25 @@ def test_encoder_equals_the_library():
             assert ids.tolist() == expected[at + k].ids
 
 
+def test_encoder_learns_words_once_whatever_stands_behind(monkeypatch):
+    encoder = token_files.Encoder(queries.byte_bpe())
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdeéñß") for _ in range(7)) for _ in range(300)] + ["12", "中a", "a中", "it's", "…", "«a»", "xª", "ɏ", "×"]
+    behind = ["", "", ",", ".", "!?", "'", "...", ")", "\nNext", ".\nNext", "\n", "\n\n", " \n", "  ", "\t", "\n1.", "\n's"]
+    texts = [" ".join(rnd.choice(words) + rnd.choice(behind if k % 2 else behind[:10]) for _ in range(rnd.randrange(60))) for k in range(2000)]
+    expected = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    ended = [f"{w}{b}" for w in words[:300] for b in behind[:8]]
+    assert [x.tolist() for x in encoder.ids([" ".join(ended)])] == [encoder.library.encode(" ".join(ended), add_special_tokens=False).ids]
+    assert len(encoder.known) <= 302
+    assert [x.tolist() for x in encoder.ids(texts)] == expected
+    monkeypatch.setattr(token_files.Encoder, "MOST", 100)
+    monkeypatch.setattr(token_files.Encoder, "MOST_IDS", 200)
+    small = token_files.Encoder(queries.byte_bpe())
+    for at in range(0, len(texts), 50):
+        assert [x.tolist() for x in small.ids(texts[at : at + 50])] == expected[at : at + 50]
+        assert len(small.known) <= 100 and small.used <= 200
+
+
 # 8
 
 
