@@ -20,9 +20,9 @@ broadcast is bounded too; document frequencies count all documents.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, pairwise
+from functools import cache
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ COUNTED = 8192
 #: Texts whose scores are remembered for further rows with them.
 REMEMBERED = 8192
 #: Documents searched at a time, and characters turned to vectors at a time.
-SEARCHED, CHARACTERS = 64, 1 << 18
+SEARCHED, CHARACTERS = 64, 1 << 20
 
 
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -54,11 +54,28 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
 
 
-class _Ids(dict):
-    """Numbers of features by word; -1 for other words."""
+@cache
+def word_characters() -> np.ndarray:
+    """Which code points ``WORDS`` takes into words."""
+    held = np.zeros(0x110000, bool)
+    points = np.flatnonzero((np.arange(len(held)) < 0xD800) | (np.arange(len(held)) > 0xDFFF))
+    for word in re.finditer(r"\w+", points.astype("<u4").tobytes().decode("utf-32-le")):
+        held[points[word.start() : word.end()]] = True
+    return held
 
-    def __missing__(self, word: str) -> int:
-        return -1
+
+def words_of(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """What ``WORDS`` finds in the lower-cased texts, one after the other, and the text that each word is of."""
+    low = [t.lower() for t in texts]
+    points = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = word_characters()[points]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    points = points[inside]
+    sizes = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)
+    offsets = np.concatenate((np.zeros(1, np.int64), sizes[np.cumsum(lengths) - 1]))
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(points.tobytes().decode("utf-32-le").encode()))
+    return words, np.searchsorted(np.cumsum([len(t) + 1 for t in low]), starts, "right")
 
 
 class Features:
@@ -66,7 +83,7 @@ class Features:
 
     def __init__(self, names: list[str]):
         self.names = names
-        self.ids: _Ids | None = None
+        self.ids: dict[str, int] | None = None
 
     def __len__(self) -> int:
         return len(self.names)
@@ -80,26 +97,31 @@ class Features:
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each text's entries begin (and the last one's end), their features in order, their counts."""
         if self.ids is None:
-            self.ids = _Ids(zip(self.names, range(len(self.names)), strict=True))
-        # Distinct words of a text only: the looking up costs more than the counting.
-        counters = [Counter(WORDS(t.lower())) for t in texts]
-        words = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(counters)), np.int64)
-        times = np.fromiter(chain.from_iterable(c.values() for c in counters), np.int64, len(words))
-        text, width = np.repeat(np.arange(len(texts)), list(map(len, counters))), max(1, len(self.names))
-        keys = (text * width + words)[words >= 0]
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        return np.searchsorted(keys, np.arange(len(texts) + 1) * width), keys % width, times[words >= 0][order]
+            self.ids = dict(zip(self.names, range(len(self.names)), strict=True))
+        words, text = words_of(texts)
+        # Distinct words of all the texts only: the looking up costs more than all else.
+        distinct = words.dictionary_encode()
+        names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.ids.get, names, repeat(-1)), np.int64, len(names))[distinct.indices.to_numpy()]
+        width = max(1, len(self.names))
+        keys = np.sort((text * width + found)[found >= 0])
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        times = np.diff(first, append=len(keys))
+        keys = keys[first]
+        return np.searchsorted(keys, np.arange(len(texts) + 1) * width), keys % width, times
 
     def parts(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(first text, and what ``vectors`` gives) of parts of the texts of a bounded size."""
         at = 0
         while at < len(texts):
             to, size = at + 1, len(texts[at])
-            while to < len(texts) and to - at < SEARCHED and size + len(texts[to]) <= CHARACTERS:
+            while to < len(texts) and size + len(texts[to]) <= CHARACTERS:
                 size += len(texts[to])
                 to += 1
-            yield at, *self.vectors(texts[at:to])
+            bounds, features, times = self.vectors(texts[at:to])
+            for k in range(0, to - at, SEARCHED):
+                part = bounds[k : k + SEARCHED + 1]
+                yield at + k, part - part[0], features[part[0] : part[-1]], times[part[0] : part[-1]]
             at = to
 
 

@@ -6,6 +6,7 @@ import re
 import struct
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -330,6 +331,39 @@ def test_toxicity_on_held_out_rows(spark):
     assert r.accuracy > 0.96 and r.recall > 0.9 and r.wrong < 0.02
 
 
+def test_words_are_counted_once_for_many_texts():
+    texts = ["A b a_1 a_1", "", "Éa—éA ΑΣ, ΑΣΑ İx ǅ ²x ٣٤ 中文。日本", "\x00\U0001f600 x\U00010400y \u0301e e\u0301", "a\nb\u2028c\x1cd", "...", "unknown b"] * 3 + [chr(c) + "x" for c in range(1, 0x3000, 7)]
+    names = sorted({w for t in texts for w in toxicity.WORDS(t.lower())} - {"unknown"})
+    features = toxicity.Features(names)
+
+    def told(first, bounds, held, times):
+        return [{names[f]: n for f, n in zip(held[a:b].tolist(), times[a:b].tolist(), strict=True)} for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    expected = [{w: k for w, k in Counter(toxicity.WORDS(t.lower())).items() if w != "unknown"} for t in texts]
+    assert told(0, *features.vectors(texts)) == expected
+    at = 0
+    for part in features.parts(texts):
+        assert part[0] == at and len(part[1]) - 1 <= toxicity.SEARCHED
+        assert told(*part) == expected[at : at + len(part[1]) - 1]
+        at += len(part[1]) - 1
+    assert at == len(texts)
+
+    class Watched(dict):
+        looked = 0
+
+        def get(self, *a):
+            Watched.looked += 1
+            return super().get(*a)
+
+        def __getitem__(self, word):
+            Watched.looked += 1
+            return super().get(word, -1)
+
+    features.ids = Watched(features.ids)
+    features.vectors(["a b unknown a_1"] * 40)
+    assert Watched.looked == 4
+
+
 # 4
 
 
