@@ -153,6 +153,16 @@ def test_path_errors(spark):
         Automaton(1, frozenset([0]), frozenset([2]), ((0, 1, Step(("a",))),))
 
 
+def test_products_of_one_value_are_dealt_over_tasks(spark):
+    """Neither side's key is shared, so the result grows with the product: no task may have most of it."""
+    rows = spark.range(300).select("id", F.lit("all").alias("v")).coalesce(1)
+    g = FactSet().with_table(rows, "a", "id", {"a_v": ("text", "v")}).with_table(rows, "b", "id", {"b_v": ("text", "v")})
+    found = find(["?x", "?y"], And(pattern(g, ("?x", "a_v", "?v")), pattern(g, ("?y", "b_v", "?v"))))
+    assert found.distinct().count() == found.count() == 300 * 300
+    tasks = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(tasks) < 300 * 300 / 3
+
+
 def test_bm25_repeated_documents_take_the_larger_count(spark):
     docs = spark.createDataFrame([("d", "fox fox"), ("d", "fox den"), ("e", ""), ("f", "the quick brown fox")], "doc string, text string")
     index = BM25Index.build(docs)
