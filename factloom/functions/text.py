@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +31,23 @@ def bigrams(c: Column) -> Column:
     return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit("\0"), b))).otherwise(F.array().cast("array<string>"))
 
 
+#: ASCII punctuation, and blanks that part words; ``bytes.split`` parts at one more.
+_PUNCTUATION, _BLANKS, _OTHER_BLANK = string.punctuation.encode(), re.compile(rb"[ \t\n\f\r]+"), b"\x0b"
+_LETTER_OR_DIGIT = re.compile(r"[^\W_]")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """``words`` of a text, in Python and UTF-8, whose bytes' lower case, blanks and punctuation are those of ASCII."""
+    parts = text.lower().split() if _OTHER_BLANK not in text else _BLANKS.split(text.lower())
+    return [w for w in [p.strip(_PUNCTUATION) for p in parts] if w.isalnum() or w and _LETTER_OR_DIGIT.search(w.decode())]
+
+
+def bigrams_of(text: bytes) -> list[bytes]:
+    """``bigrams`` of a text, in Python and UTF-8."""
+    w = words_of(text)
+    return [b"%b\0%b" % pair for pair in zip(w, w[1:])]
+
+
 def ngrams(c: Column, n: int) -> Column:
     """Runs of ``n`` characters of each run of letters and digits, in full Unicode lower case; a shorter run is its own gram."""
     parts = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")

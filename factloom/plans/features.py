@@ -476,7 +476,7 @@ _WORDS = "list_filter(list_transform(string_split_regex(text, '[ \\t\\n\\f\\r]+'
 
 @asks(f"SELECT DISTINCT doc_id AS doc FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE list_contains(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), 'of the')")
 def phrase_search(spark, d):
-    return search.BM25Index.build(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), text.bigrams(F.col("text"))).matches(["of\0the"])
+    return search.BM25Index.build(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), text.bigrams_of).matches(["of\0the"])
 
 
 @asks(_BM25 + "SELECT doc_id AS doc, source, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS cosine FROM scored JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id WHERE score >= 0.1 AND list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) >= 0.0")

@@ -8,12 +8,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.functions import values
+from factloom.functions.text import bigrams_of, words, words_of
 from factloom.operators.collection import Collection
 from factloom.operators.history import Conflict, Repository
 from factloom.operators.model import Attribute, FactSet, entity
 from factloom.operators.paths import Automaton, PathIndex, PathSummary, Step, any_but, step
 from factloom.operators.registers import ObservationOrder, StatedOrder, Unordered, sole
 from factloom.operators.search import BM25Index
+from factloom.plans.features import _WORDS
 from factloom.plans.query import And, Filter, InRange, Or, assignments, between, count, exists, find, pattern
 from factloom.streaming.incremental import pattern_changes
 
@@ -179,6 +181,61 @@ def test_bm25_index_is_kept_and_opened_again(spark, tmp_path):
     assert {r.doc: r.length for r in opened.lengths.collect()} == {"d": 2, "e": 0, "f": 4, "g": 0}
 
 
+def shuffled(spark):
+    """Bytes that this session has shuffled."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    listed = sc.statusStore().executorList(True)
+    return sum(listed.apply(k).totalShuffleWrite() for k in range(listed.size()))
+
+
+@pytest.mark.parametrize("terms", [words_of, bigrams_of, None], ids=["words", "bigrams", "array"])
+def test_bm25_postings_are_not_shuffled(spark, terms):
+    """Of documents of one row only ids move: building, merging and asking take less than a byte for each posting."""
+    docs = spark.range(200).select(F.col("id").alias("doc"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.concat(F.lit("w"), F.xxhash64(k, "id").cast("string")))).alias("text"))
+    terms, before = terms or words(F.col("text")), shuffled(spark)
+    index = BM25Index.build(docs.where("doc < 100"), terms).merge(BM25Index.build(docs.where("doc >= 100"), terms))
+    assert index.postings.count() == 200 * (499 if terms is bigrams_of else 500)
+    assert index.query(["w1"]).count() == 0
+    assert shuffled(spark) - before < 100_000
+
+
+def test_bm25_merges_documents_of_both(spark):
+    one = BM25Index.build(spark.createDataFrame([("d", "fox fox"), ("d", "den"), ("e", ""), ("f", "a b"), (None, "x")], "doc string, text string"))
+    two = BM25Index.build(spark.createDataFrame([("d", "fox den den"), ("e", "!"), ("g", "c"), (None, "x y")], "doc string, text string"))
+    index = one.merge(two)
+    held = [tuple(r) for r in index.postings.collect()]
+    assert sorted(held, key=str) == sorted([("d", "fox", 2), ("d", "den", 2), ("f", "a", 1), ("f", "b", 1), ("g", "c", 1), (None, "x", 1), (None, "y", 1)], key=str)
+    assert sorted(((r.doc, r.length) for r in index.lengths.collect()), key=str) == sorted([("d", 4), ("e", 0), ("f", 2), ("g", 1), (None, 2)], key=str)
+    assert index.statistics().first().docs == 5
+
+
+def test_bm25_of_arrays_and_of_repeated_terms(spark):
+    docs = spark.createDataFrame([(1, ["a", None, "a", "b"]), (2, None), (3, [])], "doc long, w array<string>")
+    index = BM25Index.build(docs, F.col("w"))
+    assert sorted(map(tuple, index.postings.collect())) == [(1, "a", 2), (1, "b", 1)]
+    assert {r.doc: r.length for r in index.lengths.collect()} == {1: 3, 2: 0, 3: 0}
+    twice, once = (index.query(t).first().score for t in (["a", "a"], ["a"]))
+    assert abs(twice - 2 * once) < 1e-12
+    assert index.query([]).count() == 0
+
+
+#: A sign before a line separator doesn't end its word, in SQL either.
+TEXTS = ["", "The end.", "\x0ba\x1cb c", "x!\u2028 y", "\u00a0 \u00e9T\u00c9 \u2167 \u00b2 ...", "\u4f60\u597d, (W0rld)\r\n--\t", "\x1c a-b _ _c_"]
+
+
+def test_words_of_texts_equal_their_sql(spark):
+    import duckdb
+
+    for t in TEXTS:
+        expected = duckdb.execute(f"SELECT {_WORDS} FROM (SELECT ?::VARCHAR AS text)", [t]).fetchall()[0][0]
+        assert [w.decode() for w in words_of(t.encode())] == expected, t
+        assert [w.decode() for w in bigrams_of(t.encode())] == [f"{a}\0{b}" for a, b in zip(expected, expected[1:])]
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc long, text string")
+    held = {(r.doc, r.term) for r in BM25Index.build(docs).postings.collect()}
+    assert held == {(k, w.decode()) for k, t in enumerate(TEXTS) for w in words_of(t.encode())} and (3, "x!\u2028") in held
+
+
 def test_entities_by_content():
     known = {a.name: a for a in LINK}
     one, rows = entity(known, {"name": "x", "size*": [1, 2], "link?": None})
